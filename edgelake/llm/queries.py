@@ -8,15 +8,49 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelake.llm import bpe, token_counts, token_files
+from edgelake.llm import bpe, packing, quality, token_counts, token_files, urls
 from edgelake.llm.shared import new_path, read
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+OP6_SQL = r"""
+with recursive p as (
+  select page_id, url, html,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path
+  from pages),
+rules(verdict, rhost, rpath) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+-- absolute canonical links are edges between URLs without fragments
+e as (select split_part(url, '#', 1) a, split_part(regexp_extract(html, '(?is)<link\b[^>]*\brel="canonical"[^>]*\bhref="([^">]+://[^">]+)"', 1), '#', 1) b from p where html ilike '%rel="canonical"%'),
+e2 as (select a, b from e where b <> '' union select b, a from e where b <> ''),
+reach(a, b) as (select a, b from e2 union select r.a, e2.b from reach r join e2 on r.b = e2.a),
+ruled as (
+  select u.*, (select arg_max(rhost || rpath, length(rhost) + length(rpath)) from rules
+               where (u.host = rhost or ends_with(u.host, '.' || rhost)) and starts_with(u.path, rpath)) rule
+  from (select page_id, url, host, path from p) u),
+judged as (select r.*, (select verdict from rules where rhost || rpath = r.rule) verdict from ruled r),
+blocked as (select distinct reach.b url from judged j join reach on split_part(j.url, '#', 1) = reach.a where j.verdict = 'block')
+select page_id, host, path, rule,
+  coalesce(verdict, case when split_part(url, '#', 1) in (select url from blocked) then 'block' end, 'allow') verdict
+from judged
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.cut_and_pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, max_tokens=4096)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bpe.encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     shards = token_files.write_files(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -28,9 +62,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    rules = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), rules).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_bpe, op7_token_files, op8_token_counts)}
+    return {f.__name__: f for f in (op4_packing, op5_bpe, op6_urls, op7_token_files, op8_token_counts, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_urls": OP6_SQL}
