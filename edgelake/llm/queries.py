@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelake.llm import bpe, langid, packing, quality, token_counts, token_files, urls
+from edgelake.llm import bpe, langid, near_dedup, packing, quality, token_counts, token_files, urls
 from edgelake.llm.shared import new_path, read
 
 
@@ -44,6 +44,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.cut_and_pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, max_tokens=4096)
 
@@ -75,7 +79,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op4_packing, op5_bpe, op6_urls, op7_token_files, op8_token_counts, op9_quality)}
+    return {f.__name__: f for f in (op2_langid, op3_near_dedup, op4_packing, op5_bpe, op6_urls, op7_token_files, op8_token_counts, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
