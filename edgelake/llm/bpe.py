@@ -312,6 +312,12 @@ def by_library(vocab: Vocabulary, tokens: list[bytes]) -> list[list[int]]:
     return [e.ids for e in made]
 
 
+@lru_cache(4)
+def encoder(path: str, encode_missing: Callable) -> Encoder:
+    """One encoder in each worker process, so that tasks share what it remembers."""
+    return Encoder(vocabulary(path), encode_missing)
+
+
 def decoder(vocab: Vocabulary) -> Callable[[np.ndarray, np.ndarray], list[str]]:
     """A function from ids end to end and offsets by text to decoded texts; broken UTF-8 becomes U+FFFD."""
     flat = np.frombuffer(b"".join(vocab.bytes), np.uint8)
@@ -337,8 +343,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(tokenizer)
-        encode, decode = Encoder(vocab, by_tree), decoder(vocab)
+        encode, decode = encoder(tokenizer, by_tree), decoder(vocabulary(tokenizer))
         for rows, raw, off in chunks(batches):
             ids, bounds = encode(raw, off)
             yield pa.RecordBatch.from_arrays(

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.llm.arrays import chunks
-from edgelake.llm.bpe import Encoder, binary_slices, by_library, vocabulary
+from edgelake.llm.bpe import binary_slices, by_library, encoder
 from edgelake.llm.shared import write_table
 
 #: Full sequences that a group of pieces would fill.
@@ -33,8 +33,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(tokenizer)
-        encode = Encoder(vocab, by_library)
+        encode = encoder(tokenizer, by_library)
         for rows, raw, off in chunks(batches):
             ids, bounds = encode(raw, off)
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")

@@ -8,6 +8,7 @@ survives is counted. Null is the empty text with 0 tokens; special strings count
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,51 +72,66 @@ class Merger:
         return out
 
 
+class TokenCounter:
+    """Counts the tokens of chunks of texts; remembers the counts of pre-tokens seen lately."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab, self.merger, self.known = vocab, Merger(vocab), Memo()
+        self.specials = [t.encode() for t in vocab.special]
+
+    def plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens by text, special strings taken as text; and which texts hold code points of unsure class."""
+        at, to, unsure = pre_tokens(raw, off, False)
+        codes, distinct = pd.factorize(hash_spans(raw, at, to))
+        keys = distinct.tolist()
+        missing = self.known.missing(keys)
+        memo = self.known.young
+        if missing:
+            seen = np.full(len(keys), -1)
+            seen[codes[::-1]] = np.arange(len(codes))[::-1]
+            place = seen[missing]
+            size = to[place] - at[place]
+            symbols = self.merger.first[raw[gather(at[place], size)]]
+            memo.update(zip([keys[i] for i in missing], self.merger.count(symbols, size).tolist(), strict=True))
+        each = np.fromiter((memo[k] for k in keys), np.int64, len(keys))
+        return np.diff(np.concatenate([[0], np.cumsum(each[codes])])[np.searchsorted(at, off)]), unsure
+
+    def with_special(self, text: bytes) -> int:
+        """Tokens of one text that holds special strings."""
+        total = 0
+        for part in self.vocab.split_special.split(text.decode()):
+            data = np.frombuffer(part.encode(), np.uint8)
+            total += part in self.vocab.special or (int(self.plain(data, np.array([0, len(data)]))[0][0]) if len(data) else 0)
+        return total
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        n, unsure = self.plain(raw, off)
+        data = raw.tobytes()
+        for i in np.flatnonzero(unsure).tolist():
+            n[i] = len(self.vocab.library.encode(data[off[i] : off[i + 1]].decode(), add_special_tokens=False).ids)
+        if any(t in data for t in self.specials):
+            for i in range(len(n)):
+                text = data[off[i] : off[i + 1]]
+                if not unsure[i] and any(t in text for t in self.specials):
+                    n[i] = self.with_special(text)
+        return n
+
+
+@lru_cache(4)
+def counter(path: str) -> TokenCounter:
+    """One counter in each worker process."""
+    return TokenCounter(vocabulary(path))
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_bytes and n_tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
+    if vocabulary(tokenizer).words_only:
+        raise ValueError("counts are for byte-level vocabularies without word ends")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(tokenizer)
-        merger, known = Merger(vocab), Memo()
-        specials = [t.encode() for t in vocab.special]
-
-        def counts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at, to, unsure = pre_tokens(raw, off, vocab.words_only)
-            codes, distinct = pd.factorize(hash_spans(raw, at, to))
-            keys = distinct.tolist()
-            missing = known.missing(keys)
-            memo = known.young
-            if missing:
-                seen = np.full(len(keys), -1)
-                seen[codes[::-1]] = np.arange(len(codes))[::-1]
-                place = seen[missing]
-                size = to[place] - at[place]
-                symbols = merger.first[raw[gather(at[place], size)]]
-                memo.update(zip([keys[i] for i in missing], merger.count(symbols, size).tolist(), strict=True))
-            each = np.fromiter((memo[k] for k in keys), np.int64, len(keys))
-            return np.diff(np.concatenate([[0], np.cumsum(each[codes])])[np.searchsorted(at, off)]), unsure
-
-        def whole(text: bytes) -> int:
-            """A text that holds special strings."""
-            total = 0
-            for part in vocab.split_special.split(text.decode()):
-                data = part.encode()
-                total += part in vocab.special or (int(counts(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0][0]) if data else 0)
-            return total
-
+        count = counter(tokenizer)
         for rows, raw, off in chunks(batches):
-            n, unsure = counts(raw, off)
-            data = raw.tobytes()
-            for i in np.flatnonzero(unsure).tolist():
-                n[i] = len(vocab.library.encode(data[off[i] : off[i + 1]].decode(), add_special_tokens=False).ids)
-            if any(t in data for t in specials):
-                for i in range(len(n)):
-                    text = data[off[i] : off[i + 1]]
-                    if not unsure[i] and any(t in text for t in specials):
-                        n[i] = whole(text)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(off), pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(off), pa.int64()), pa.array(count(raw, off), pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    if vocabulary(tokenizer).words_only:
-        raise ValueError("counts are for byte-level vocabularies without word ends")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

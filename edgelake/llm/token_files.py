@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from edgelake.llm.arrays import chunks
-from edgelake.llm.bpe import Encoder, binary_slices, by_library, vocabulary
+from edgelake.llm.bpe import binary_slices, by_library, encoder, vocabulary
 
 NO_ID = -(1 << 63)
 #: Ids read back at once.
@@ -36,7 +36,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(tokenizer)
-        encode, kind = Encoder(vocab, by_library), np.dtype("<u2" if vocab.size <= 1 << 16 else "<u4")
+        encode, kind = encoder(tokenizer, by_library), np.dtype("<u2" if vocab.size <= 1 << 16 else "<u4")
         store, folder = pafs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
         shard = TaskContext.get().partitionId()
