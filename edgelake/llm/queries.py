@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelake.llm import bpe, langid, near_dedup, packing, quality, token_counts, token_files, urls
+from edgelake.llm import bpe, embedding_dedup, langid, near_dedup, packing, quality, substring_dedup, token_counts, token_files, urls
 from edgelake.llm.shared import new_path, read
 
 
@@ -38,6 +38,10 @@ from judged
 """
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(read(spark, sf_dir, "documents"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.fit(docs.where(~F.col("held_out")))
@@ -78,8 +82,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs.select("doc_id", "text"), rules).drop("text")
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.components(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_langid, op3_near_dedup, op4_packing, op5_bpe, op6_urls, op7_token_files, op8_token_counts, op9_quality)}
+    return {f.__name__: f for f in (op1_passages, op2_langid, op3_near_dedup, op4_packing, op5_bpe, op6_urls, op7_token_files, op8_token_counts, op9_quality, op10_embeddings)}
 
 
 def oracle_sql() -> dict[str, str]:
