@@ -6,8 +6,8 @@ and equal registers tell of similar sets. Bands of registers give candidates: wi
 with the bucket's smallest one, never with all others. The joint likelihood of a pair's registers, given both set
 sizes, drops pairs whose similarity is most likely far below the limit; the rest are compared as full sets. Buckets
 that then still hold more than one component are compared across components in blocks, so no link is lost to
-the choice of the smallest; blocks bound what a task holds. Two sets at the limit share no bucket with probability
-below 1e-7, and the likelihood drops such a pair with probability below 1e-5.
+the choice of the smallest; blocks bound what a task holds. Two sets with a similarity of 0.85 share no bucket with
+probability below 1e-7 (0.8: 1e-5), and the likelihood drops such a pair with probability below 1e-5 (0.8: 1e-4).
 
 Sets are classes of equal shingles, named by a 64-bit hash; copies are one class and are never paired. Only narrow
 class rows, candidate pairs and the sets of candidates move.
@@ -36,8 +36,8 @@ REGISTERS, BAND = 96, 4
 BASE = 1.001
 #: ln of the largest value that a register holds; with 16 bits it reaches down by 65 nats.
 TOP = 10.0
-#: Pairs are dropped if their likelihood falls from here on.
-FLOOR = 0.68
+#: Pairs are dropped if their likelihood falls from so far below the limit on.
+MARGIN = 0.17
 BLOCK = 1024
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -125,14 +125,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     return rows.mapInArrow(work, "node long, shingles array<long>")
 
 
-def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether the joint likelihood of two rows of registers still rises at FLOOR."""
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, floor: float) -> np.ndarray:
+    """Whether the joint likelihood of two rows of registers still rises at a similarity of ``floor``."""
     more, less = (a > b).sum(1), (a < b).sum(1)
     same = REGISTERS - more - less
     u = na / (na + nb)
     v = 1 - u
     c, ln = (BASE - 1) / BASE, np.log(BASE)
-    x, y = u - v * FLOOR, v - u * FLOOR
+    x, y = u - v * floor, v - u * floor
     ok = (x > 0) & (y > 0)
     x, y = np.where(ok, x, 0.1), np.where(ok, y, 0.1)
     p, q = -np.log1p(-c * x) / ln, -np.log1p(-c * y) / ln
@@ -145,13 +145,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, REGISTERS)
 
 
-def likely_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely_pairs(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFrame:
     """Pairs (a, b) of nodes that the likelihood leaves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = {k: batch.column(k) for k in batch.schema.names}
-            ok = likely(matrix(c["ra"]), matrix(c["rb"]), c["na"].to_numpy(), c["nb"].to_numpy())
+            ok = likely(matrix(c["ra"]), matrix(c["rb"]), c["na"].to_numpy(), c["nb"].to_numpy(), floor)
             yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], ["a", "b"])
 
     left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
@@ -177,7 +177,7 @@ def bands_of(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.explode(keys).alias("key"))
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
+def cross_pairs(members: DataFrame, floor: float) -> DataFrame:
     """Likely pairs across components within buckets. members: (key, size, node, label, n, registers)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def cross_pairs(members: DataFrame) -> DataFrame:
             for a in rows:
                 b = columns[(label[columns] != label[a]) & ((i != j) | (columns > a))]
                 if len(b):
-                    b = b[likely(r[[a]], r[b], n[a], n[b])]
+                    b = b[likely(r[[a]], r[b], n[a], n[b], floor)]
                     found.append(np.stack([np.full(len(b), node[a]), node[b]], 1))
             if found:
                 pairs = np.concatenate(found)
@@ -229,7 +229,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 
 def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, n_shingles, component_id (the smallest id reachable over links) and kept."""
+    """Per row: ``id_col``, n_shingles, component_id (the smallest id reachable over links), kept and text_hash."""
     rows = write_table(sketch(docs, id_col, text_col), "sketches")
     some = rows.where("n > 0")
     own = F.min(F.struct("id", "key"))
@@ -240,7 +240,7 @@ def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     bands = bands_of(classes)
     buckets = write_table(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
     stars = bands.join(buckets, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    pairs = write_table(likely_pairs(stars, classes), "pairs")
+    pairs = write_table(likely_pairs(stars, classes, percent / 100 - MARGIN), "pairs")
     links = confirmed(pairs, classes, docs, id_col, text_col, percent)
     labels = write_table(connected_components(links), "labels")
 
@@ -250,7 +250,7 @@ def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     mixed = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     mixed = write_table(mixed, "mixed")
     members = open_.join(mixed, "key").join(classes.select("node", "n", "registers"), "node")
-    more = write_table(cross_pairs(members).join(pairs, ["a", "b"], "left_anti"), "cross")
+    more = write_table(cross_pairs(members, percent / 100 - MARGIN).join(pairs, ["a", "b"], "left_anti"), "cross")
     drop_table(open_, mixed, labels, pairs, buckets)
     if not more.isEmpty():
         links = write_table(links.union(confirmed(more, classes, docs, id_col, text_col, percent)), "links")
@@ -261,7 +261,8 @@ def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     named = labels.join(least, "component").select("node", F.col("least").alias("component_id"))
     by_class = write_table(classes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
     drop_table(labels, least)
-    out = rows.select("id", "node", "n").join(by_class, "node", "left")
+    out = rows.select("id", "node", "n", "key").join(by_class, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())).withColumnRenamed("id", id_col)
+    out = out.select(F.col("id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("text_hash"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "text_hash")

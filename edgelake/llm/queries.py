@@ -49,7 +49,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.components(read(spark, sf_dir, "documents"), percent=85)
+    return near_dedup.components(read(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
