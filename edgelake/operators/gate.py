@@ -150,6 +150,17 @@ def close_book(closes: list[float], capital: float = CAPITAL) -> dict:
     return {"daily_pnl": daily, "peak": peak, "drawdown": drawdown, "halt": halt}
 
 
+def book_states(closes: DataFrame, by: str, order: list[str], capital: float = CAPITAL) -> DataFrame:
+    """The running state of close_book() after every close (pnl), for each ``by``, as window aggregates."""
+    over = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    peak = F.greatest(F.lit(capital), F.max(capital + F.col("pnl")).over(over))
+    rows = closes.withColumns({"daily_pnl": F.sum("pnl").over(over), "peak": peak})
+    rows = rows.withColumn("drawdown", (F.col("peak") - capital - F.col("pnl")) / F.col("peak"))
+    deep = F.when(F.col("drawdown") > 0.08, F.concat(F.lit("DRAWDOWN_"), F.format_string("%.1f%%", F.col("drawdown") * 100)))
+    reason = F.coalesce(deep, F.when(F.col("daily_pnl") < -0.04 * capital, "SINGLE_DAY_LOSS_4PCT"))
+    return rows.withColumn("_reason", reason).withColumn("halt", F.first("_reason", ignorenulls=True).over(over)).drop("_reason")
+
+
 def daily_reset(book: dict) -> dict:
     """A new day clears the day's pnl, and a halt for the day's loss only."""
     return book | {"daily_pnl": 0.0, "halt": None if book["halt"] == "SINGLE_DAY_LOSS_4PCT" else book["halt"]}

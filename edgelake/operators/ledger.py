@@ -85,3 +85,38 @@ def decay(win_rate: Column, wins: Column, losses: Column) -> Column:
     posterior = (rate * 20 + w) / (20 + n)
     watch = (posterior < rate - 0.05) & (n >= 20)
     return F.struct(watch.alias("watch_flag"), F.when(watch, posterior).alias("posterior_win_rate"), ((posterior < rate - 0.08) & (n >= 30)).alias("decay_flag"))
+
+
+def log_rows(history: DataFrame, chosen: list[str]) -> DataFrame:
+    """Rows of the observation log: an id made of the key and the chosen columns as JSON, nulls kept."""
+    details = F.to_json(F.struct(*chosen), {"ignoreNullFields": "false"})
+    key = F.sha2(F.concat_ws("|", F.col("date").cast("string"), "regime_state"), 256)
+    return history.select(key.alias("observation_id"), "date", "regime_state", "regime_confidence", details.alias("details"))
+
+
+def trade_close(outcomes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """What closed trades write: the trade log, the learner's replay, signal updates and edges with new hit rates and decay flags."""
+    won = true(F.col("net_return_pct") > 0)
+    log = outcomes.select("trade_id", "edge_id", "instrument_class", "direction", "holding_period", "net_return_pct", "regime_at_entry", "exit_date", won.cast("int").alias("won"))
+    replay = outcomes.where("bandit_action is not null").select(F.concat(F.lit("R_"), "trade_id").alias("transition_id"), F.col("bandit_action").alias("action"), (F.col("net_return_pct") / 100).alias("reward"), F.col("bandit_context").alias("context"))
+    signals = outcomes.select("signal_id", F.when(won, "WIN").otherwise("LOSS").alias("shadow_outcome"), F.col("net_return_pct").alias("shadow_return_pct"), "exit_date")
+    rated = hit_rates(edges, outcomes).withColumn("_d", decay(F.col("win_rate"), F.col("live_wins"), F.col("live_losses")))
+    rated = rated.withColumns({"decay_flag": F.greatest("decay_flag", F.col("_d.decay_flag").cast("int")), "status": F.when(F.col("_d.decay_flag"), "DECAYED").otherwise(F.col("status"))})
+    return {"log": log, "replay": replay, "signals": signals, "edges": rated.select(*edges.columns)}
+
+
+def save_state(rows: DataFrame, path: str, version: int) -> None:
+    """Learner state as a table; each version is a folder of its own, so readers never see half of one."""
+    rows.write.mode("overwrite").parquet(f"{path}/version={version}")
+
+
+def load_state(spark, path: str, default: DataFrame) -> DataFrame:
+    """The latest saved version, or ``default`` where none can be read."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException:
+        return default
+    last = rows.agg(F.max("version")).first()[0]
+    return rows.where(F.col("version") == last).drop("version")

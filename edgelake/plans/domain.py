@@ -293,3 +293,50 @@ register(
 register("s08_synthetic_bars", lambda s, d: source.synthetic_bars(s, "2010-01-01", "2012-12-31"))
 register("s09_mean_reverting", lambda s, d: source.mean_reverting(s, "2010-01-01", "2012-12-31"))
 register("s10_regime_paths", lambda s, d: source.regime_paths(s, "2010-01-01", "2012-12-31", [("2010-01-01", "2010-12-31", 0.2, 0.12, 14.0), ("2011-06-01", "2011-12-31", -0.3, 0.3, 28.0)]))
+
+
+def closes(s, d):
+    return T(s, d).select("edge_id", "exit_date", "o_orderkey", (F.col("net_return_pct") * 1000).alias("pnl"))
+
+
+register(
+    "d18_book_states",
+    lambda s, d: gate.book_states(closes(s, d), "edge_id", ["exit_date", "o_orderkey"]).select("o_orderkey", "daily_pnl", "peak", "drawdown", (F.col("halt").isNotNull()).alias("halted"), F.substring("halt", 1, 8).alias("why")),
+    fx.sql(
+        "select o_orderkey, round(daily_pnl,6) daily_pnl, round(peak,6) peak, round(drawdown,6) drawdown, h is not null halted, h why from b3",
+        b1="select *, net_return_pct*1000 pnl, sum(net_return_pct*1000) over (partition by edge_id order by exit_date, o_orderkey) daily_pnl, greatest(1350000, max(1350000+net_return_pct*1000) over (partition by edge_id order by exit_date, o_orderkey)) peak from trades",
+        b2="select *, (peak-1350000-pnl)/peak drawdown, case when (peak-1350000-pnl)/peak>0.08 then 'DRAWDOWN' when daily_pnl< -54000 then 'SINGLE_D' end why0 from b1",
+        b3="select *, first_value(why0 ignore nulls) over (partition by edge_id order by exit_date, o_orderkey rows between unbounded preceding and current row) h from b2",
+    ),
+)
+
+
+def outcomes(s, d):
+    i = F.col("event_id")
+    return S(s, d).select(
+        F.concat(F.lit("T"), i.cast("string")).alias("trade_id"), "edge_id", "instrument_class", "direction", "holding_period", F.col("trigger_value").alias("net_return_pct"), F.lit("SIDEWAYS").alias("regime_at_entry"),
+        F.col("day").alias("exit_date"), F.concat(F.lit("S"), i.cast("string")).alias("signal_id"), F.when(i % 3 > 0, "SMALL").alias("bandit_action"), F.array(F.col("confidence")).alias("bandit_context"),
+    )
+
+
+def closed(part):
+    return lambda s, d: ledger.trade_close(outcomes(s, d), fx.edges(s))[part]
+
+
+register("d31_close_log", closed("log"), fx.sql("select 'T'||event_id trade_id, edge_id, instrument_class, direction, holding_period, trigger_value net_return_pct, 'SIDEWAYS' regime_at_entry, day exit_date, cast(trigger_value>0 as int) won from signals"))
+register("d31_close_replay", lambda s, d: closed("replay")(s, d).drop("context"), fx.sql("select 'R_T'||event_id transition_id, 'SMALL' as action, round(trigger_value/100,6) reward from signals where event_id%3>0"))
+register("d31_close_signals", closed("signals"), fx.sql("select 'S'||event_id signal_id, case when trigger_value>0 then 'WIN' else 'LOSS' end shadow_outcome, trigger_value shadow_return_pct, day exit_date from signals"))
+register(
+    "d31_close_edges",
+    lambda s, d: closed("edges")(s, d).select("edge_id", "status", "decay_flag", "live_wins", "live_losses", "live_hit_rate"),
+    fx.sql(
+        "select edge_id, case when dk then 'DECAYED' else status end status, greatest(decay_flag, cast(dk as int)) decay_flag, w live_wins, l live_losses, round(w/(w+l),6) live_hit_rate from u2",
+        u1="select e.*, live_wins+coalesce(cw,0) w, live_losses+coalesce(cn-cw,0) l from edges e left join (select edge_id k, count(*) filter (trigger_value>0) cw, count(*) cn from signals group by 1) on k=edge_id",
+        u2="select *, (win_rate*20+w)/(20+w+l)<win_rate-0.08 and w+l>=30 dk from u1",
+    ),
+)
+register(
+    "s23_log_rows",
+    lambda s, d: ledger.log_rows(H(s, d), ["transition_warning_flag"]).withColumn("regime_confidence", F.col("regime_confidence")),
+    fx.sql("select sha256(cast(date as varchar)||'|'||regime_state) observation_id, date, regime_state, round(regime_confidence,6) regime_confidence, '{\"transition_warning_flag\":'||transition_warning_flag||'}' details from history"),
+)

@@ -246,3 +246,17 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     query.awaitTermination(120)
     approved = gate.validate(signals, fx.positions(spark), fx.edges(spark)).where("decision = 'APPROVED'")
     assert sorted(seen) == sorted(r["event_id"] for r in gate.select_trades(approved, fx.positions(spark), "event_id").collect())
+
+
+def test_declared_schemas(spark, tmp_path):
+    from edgelake import schema
+
+    rows = spark.createDataFrame([("t", 5.0)], "trade_id string, margin double")
+    assert schema.missing(rows, "positions") == ["instrument_class", "underlying", "direction", "holding_period"]
+    assert schema.conform(rows, "positions").schema.simpleString() == schema.empty(spark, "positions").schema.simpleString()
+    assert all(schema.empty(spark, name).count() == 0 for name in schema.TABLES)
+    default = spark.createDataFrame([(0,)], "x int")
+    assert ledger.load_state(spark, str(tmp_path / "none"), default).first()["x"] == 0
+    for version in (1, 2):
+        ledger.save_state(spark.createDataFrame([(version,)], "x int"), str(tmp_path / "state"), version)
+    assert ledger.load_state(spark, str(tmp_path / "state"), default).first()["x"] == 2
