@@ -18,6 +18,7 @@ def with_features(bars: DataFrame) -> DataFrame:
         {
             "_before": before,
             "_change": close - before,
+            "_n": F.row_number().over(over),
             "ret_1d": log_return(close),
             **{f"mom_{n}d": change(close, n) for n in (5, 10, 20, 60)},
             "_mean_21": rolling(F.avg(close), close, 21),
@@ -36,14 +37,11 @@ def with_features(bars: DataFrame) -> DataFrame:
             "ret_skew_20": sample_skew(ret, 20),
             "rsi_2": rsi(move, 2),
             "rsi_14": rsi(move, 14),
-            # a streak is numbered by the rows before it that break it
-            "_up_group": F.sum((~up).cast("long")).over(over.rowsBetween(W.unboundedPreceding, 0)),
-            "_down_group": F.sum((~down).cast("long")).over(over.rowsBetween(W.unboundedPreceding, 0)),
-            "_up": up.cast("long"),
-            "_down": down.cast("long"),
+            # a streak counts from the last row that breaks it; the first row always does
+            "_up_from": F.max(F.when(~up, F.col("_n"))).over(over.rowsBetween(W.unboundedPreceding, 0)),
+            "_down_from": F.max(F.when(~down, F.col("_n"))).over(over.rowsBetween(W.unboundedPreceding, 0)),
         }
     )
-    streak = lambda x, group: F.sum(x).over(W.partitionBy("instrument", group).orderBy("date").rowsBetween(W.unboundedPreceding, 0))
     width = F.nullif(F.col("rolling_max_252") - F.col("rolling_min_252"), F.lit(0.0))
     gap = F.try_divide(F.col("open") - F.col("_before"), F.col("_before"))
     return rows.select(
@@ -55,7 +53,7 @@ def with_features(bars: DataFrame) -> DataFrame:
         ((close - F.col("rolling_max_252")) / width).alias("pct_from_hi"),
         ((close - F.col("rolling_min_252")) / width).alias("pct_from_lo"),
         ((ret - F.col("_ret_mean_20")) / F.nullif("vol_20d", F.lit(0.0))).alias("ret_zscore"),
-        "ret_skew_20", streak("_up", "_up_group").alias("up_streak"), streak("_down", "_down_group").alias("down_streak"),
+        "ret_skew_20", (F.col("_n") - F.col("_up_from")).cast("long").alias("up_streak"), (F.col("_n") - F.col("_down_from")).cast("long").alias("down_streak"),
         gap.alias("gap_pct"), true((gap < -0.01) & (close < F.col("_before"))).cast("int").alias("gap_unfilled_eod"),
     )
 
