@@ -187,34 +187,40 @@ register(
 )
 
 # aggregates
-net = F.col("net_return_pct")
+NET = "net_return_pct"
+
+
+def net():
+    return F.col(NET)
+
+
 register(
     "a01_returns_by_edge",
-    lambda s, d: T(s, d).groupBy("edge_id").agg(win_rate(net).alias("win_rate"), F.avg(net).alias("avg_return"), F.avg(floored(net, -35.0 / 2)).alias("avg_net"), t_statistic(net).alias("t_stat"), F.count("*").alias("n")),
+    lambda s, d: T(s, d).groupBy("edge_id").agg(win_rate(net()).alias("win_rate"), F.avg(net()).alias("avg_return"), F.avg(floored(net(), -35.0 / 2)).alias("avg_net"), t_statistic(net()).alias("t_stat"), F.count("*").alias("n")),
     fx.sql("select edge_id, round(avg(case when net_return_pct>0 then 1.0 else 0 end),6) win_rate, round(avg(net_return_pct),6) avg_return, round(avg(greatest(net_return_pct,-17.5)),6) avg_net, round(avg(net_return_pct)/(stddev_samp(net_return_pct)/sqrt(count(*))),6) t_stat, count(*) n from trades group by 1"),
 )
 register("a06_rejections", lambda s, d: ledger.rejection_analysis(fx.ledger(s, d)), fx.sql("""select edge_id, ai2_decision, count(*) "count", round(avg(case when shadow_outcome='WIN' then 1.0 else 0 end),6) win_rate from ledger where ai2_decision is not null group by 1,2"""))
 register("a07_regime_counts", lambda s, d: H(s, d).groupBy("regime_state").agg(F.count("*").alias("n"), F.count_if("transition_warning_flag").alias("warnings")), fx.sql("select regime_state, count(*) n, count(*) filter (transition_warning_flag) warnings from history group by 1"))
-register("a09_mean_by_exit", lambda s, d: T(s, d).groupBy("exit_date").agg(F.avg(net).alias("mean_return")), fx.sql("select exit_date, round(avg(net_return_pct),6) mean_return from trades group by 1"))
+register("a09_mean_by_exit", lambda s, d: T(s, d).groupBy("exit_date").agg(F.avg(net()).alias("mean_return")), fx.sql("select exit_date, round(avg(net_return_pct),6) mean_return from trades group by 1"))
 register(
     "a10_coverage",
     lambda s, d: T(s, d).groupBy("edge_id").agg(F.count_distinct("instrument_class").alias("classes"), (F.size(F.array_except(F.array(F.lit(2), F.lit(5), F.lit(10)), F.collect_set("holding_period"))) == 0).alias("covered")),
     fx.sql("select edge_id, count(distinct instrument_class) classes, count(distinct holding_period) filter (holding_period in (2,5,10))=3 covered from trades group by 1"),
 )
-register("a12_by_holding_period", lambda s, d: T(s, d).groupBy("holding_period").agg(win_rate(net).alias("win_rate"), F.count("*").alias("n")), fx.sql("select holding_period, round(avg(case when net_return_pct>0 then 1.0 else 0 end),6) win_rate, count(*) n from trades group by 1"))
+register("a12_by_holding_period", lambda s, d: T(s, d).groupBy("holding_period").agg(win_rate(net()).alias("win_rate"), F.count("*").alias("n")), fx.sql("select holding_period, round(avg(case when net_return_pct>0 then 1.0 else 0 end),6) win_rate, count(*) n from trades group by 1"))
 
 
 def histogram(s, d):
-    span = T(s, d).groupBy("edge_id").agg(F.min(net).alias("low"), F.max(net).alias("high"))
+    span = T(s, d).groupBy("edge_id").agg(F.min(net()).alias("low"), F.max(net()).alias("high"))
     rows = T(s, d).join(F.broadcast(span), "edge_id")
-    rows = rows.withColumn("bin", F.least(F.floor((net - F.col("low")) * 20 / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), F.lit(19)).cast("long"))
+    rows = rows.withColumn("bin", F.least(F.floor((net() - F.col("low")) * 20 / F.nullif(F.col("high") - F.col("low"), F.lit(0.0))), F.lit(19)).cast("long"))
     return rows.groupBy("edge_id", "bin").agg(F.count("*").alias("n"))
 
 
 register("a13_histogram", histogram, fx.sql("select edge_id, cast(least(floor((net_return_pct-low)*20/nullif(high-low,0)),19) as bigint) bin, count(*) n from trades join (select edge_id e, min(net_return_pct) low, max(net_return_pct) high from trades group by 1) on e=edge_id group by 1,2"))
 register(
     "a14_profit_factor",
-    lambda s, d: T(s, d).groupBy("edge_id").agg(profit_factor(net).alias("profit_factor")),
+    lambda s, d: T(s, d).groupBy("edge_id").agg(profit_factor(net()).alias("profit_factor")),
     fx.sql("select edge_id, round(sum(case when net_return_pct>0 then net_return_pct end)/sum(case when net_return_pct<0 then -net_return_pct end),6) profit_factor from trades group by 1"),
 )
 register(
@@ -224,14 +230,14 @@ register(
 )
 register(
     "a16_cagr",
-    lambda s, d: T(s, d).groupBy("edge_id").agg(backtest.compounded(net, 0.001).alias("c"), F.count("*").alias("n")).select("edge_id", (F.pow(F.col("c") / 1350000.0, 252 / F.col("n")) - 1).alias("cagr")),
+    lambda s, d: T(s, d).groupBy("edge_id").agg(backtest.compounded(net(), 0.001).alias("c"), F.count("*").alias("n")).select("edge_id", (F.pow(F.col("c") / 1350000.0, 252 / F.col("n")) - 1).alias("cagr")),
     fx.sql("select edge_id, round(power(exp(sum(ln(1+0.001*net_return_pct/100))),252.0/count(*))-1,6) cagr from trades group by 1"),
 )
 register("a18_margin", lambda s, d: fx.positions(s).groupBy("instrument_class").agg(F.sum("margin").alias("margin"), F.count("*").alias("n")), fx.sql("select instrument_class, sum(margin) margin, count(*) n from positions group by 1"))
 register("a19_slots", lambda s, d: gate.slots(fx.positions(s)), fx.sql("select h holding_period, coalesce(n,0) used, most, coalesce(n,0)<most free from (values (2,3),(5,2),(10,2),(15,1)) t(h, most) left join (select holding_period, count(*) n from positions group by 1) on h=holding_period"))
 register(
     "a20_compounded",
-    lambda s, d: T(s, d).groupBy("edge_id").agg(F.ln(backtest.compounded(net)).alias("log_capital")),
+    lambda s, d: T(s, d).groupBy("edge_id").agg(F.ln(backtest.compounded(net())).alias("log_capital")),
     fx.sql("select edge_id, round(ln(1350000.0)+sum(ln(1+0.07*net_return_pct/100)),6) log_capital from trades group by 1"),
 )
 register("a21_spans", lambda s, d: B(s, d).groupBy("instrument").agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("n"), F.min_by("close", "date").alias("open_close"), F.max_by("close", "date").alias("end_close")), fx.sql('select instrument, min(date) "first", max(date) "last", count(*) n, arg_min(close,date) open_close, arg_max(close,date) end_close from bars group by 1'))

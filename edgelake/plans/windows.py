@@ -13,7 +13,6 @@ from edgelake.plans.registry import r, register
 
 ALL = "ret_1d mom_5d mom_10d mom_20d mom_60d vol_5d vol_20d vol_ratio_vols z_21d rsi_2 rsi_14 rolling_max_252 rolling_min_252 pct_from_hi pct_from_lo ret_zscore ret_skew_20 gap_pct close"
 KEY = "instrument, date"
-over = by_instrument()
 
 
 def columns(name: str, doubles: str, others: str = "") -> None:
@@ -50,12 +49,12 @@ def rolling_means(s, d):
 register("w04_rolling_means", rolling_means, fx.sql(f"select {KEY}, round({fx.full(50, 'avg(close)', 'close')},9) sma_50, round({fx.full(200, 'avg(close)', 'close')},9) sma_200 from feat" + fx.WINDOWS), 9)
 register(
     "w14_forward_returns",
-    lambda s, d: features(fx.bars(s, d)).select("instrument", "date", *(F.ln(F.lead("close", h).over(over) / F.col("close")).alias(f"fwd_{h}") for h in (2, 5, 10))),
+    lambda s, d: features(fx.bars(s, d)).select("instrument", "date", *(F.ln(F.lead("close", h).over(by_instrument()) / F.col("close")).alias(f"fwd_{h}") for h in (2, 5, 10))),
     fx.sql(f"select {KEY}, " + ", ".join(f"round(ln(lead(close,{h}) over w/close),6) fwd_{h}" for h in (2, 5, 10)) + " from feat" + fx.WINDOWS),
 )
 register(
     "w15_two_days_low",
-    lambda s, d: features(fx.bars(s, d)).select("instrument", "date", ((F.col("rsi_2") < 10) & F.coalesce(F.lag(F.col("rsi_2") < 10).over(over), F.lit(False))).alias("twice")),
+    lambda s, d: features(fx.bars(s, d)).select("instrument", "date", ((F.col("rsi_2") < 10) & F.coalesce(F.lag(F.col("rsi_2") < 10).over(by_instrument()), F.lit(False))).alias("twice")),
     fx.sql(f"select {KEY}, rsi_2<10 and coalesce(lag(rsi_2<10) over w,false) twice from feat" + fx.WINDOWS),
 )
 register("w16_transition_flag", lambda s, d: fx.history(s, d).select("date", "transition_warning_flag"), fx.sql("select date, transition_warning_flag from history"))
