@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.llm.arrays import chunks, hash_spans, lower, mix, word_spans
+from edgelake.llm.arrays import chunks, gather, hash_spans, lower, mix, word_spans
 from edgelake.llm.shared import connected_components, drop_table, small, write_table
 
 WORDS = 5
@@ -38,7 +38,8 @@ BASE = 1.001
 TOP = 10.0
 #: Pairs are dropped if their likelihood falls from so far below the limit on.
 MARGIN = 0.17
-BLOCK = 1024
+#: Members of a bucket that are compared with as many others at once.
+BLOCK = 512
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -172,35 +173,85 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
 
 def bands_of(classes: DataFrame) -> DataFrame:
-    """(key, node): a row for each band of each class."""
+    """(node, band, key): a row for each band of each class."""
     keys = F.array(*(F.xxhash64(F.substring("registers", i * 2 * BAND + 1, 2 * BAND), F.lit(i)) for i in range(REGISTERS // BAND)))
-    return classes.select("node", F.explode(keys).alias("key"))
+    return classes.select("node", F.posexplode(keys).alias("band", "key"))
 
 
-def cross_pairs(members: DataFrame, floor: float) -> DataFrame:
-    """Likely pairs across components within buckets. members: (key, size, node, label, n, registers)."""
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets (key, size, node, …), dealt so that each pair of blocks of a bucket is one group (key, i, j)."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    rows = rows.withColumn("_pair", F.explode(other)).select("*", "_pair.i", "_pair.j").drop("_pair")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def block_pairs(part: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows): likely pairs across components of a group, each in the first band only that the two share."""
+    label, n, side = (part.column(k).to_numpy() for k in ("label", "n", "block"))
+    r = matrix(part.column("registers"))
+    bands = r.view("<u8")
+    i, j, band = (part.column(k)[0].as_py() for k in ("i", "j", "band"))
+    rows, columns = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    for a in rows:
+        b = columns[(label[columns] != label[a]) & ((i != j) | (columns > a))]
+        if len(b):
+            b = b[(bands[b] == bands[a]).argmax(1) == band]
+            b = b[likely(r[[a]], r[b], n[a], n[b], floor)]
+            if len(b):
+                yield int(a), b
+
+
+def cross_members(members: DataFrame, floor: float) -> DataFrame:
+    """(key, node) of members that have a likely partner in another component of the bucket."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sorted_groups(batches, ["key", "i", "j"]):
-            node, label, n, side = (part.column(k).to_numpy() for k in ("node", "label", "n", "block"))
-            r = matrix(part.column("registers"))
-            i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-            rows, columns = np.flatnonzero(side == i), np.flatnonzero(side == j)
+            hit = np.zeros(part.num_rows, bool)
+            for a, b in block_pairs(part, floor):
+                hit[a] = hit[b] = True
+            if hit.any():
+                yield part.select(["key", "node"]).filter(pa.array(hit)).combine_chunks().to_batches()[0]
+
+    return in_blocks(members).mapInArrow(work, "key long, node long").distinct()
+
+
+def cross_links(members: DataFrame, floor: float, percent: int) -> DataFrame:
+    """Confirmed links (a, b) across components: of each group no more than join its components. members hold ``shingles``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, ["key", "i", "j"]):
+            node, label, n = (part.column(k).to_numpy() for k in ("node", "label", "n"))
+            lists = part.column("shingles").chunk(0)
+            codes, distinct = pd.factorize(lists.flatten().to_numpy())
+            first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+            mark = np.zeros(len(distinct), bool)
+            root = {x: x for x in label.tolist()}
+
+            def find(x: int, root=root) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
             found = []
-            for a in rows:
-                b = columns[(label[columns] != label[a]) & ((i != j) | (columns > a))]
-                if len(b):
-                    b = b[likely(r[[a]], r[b], n[a], n[b], floor)]
-                    found.append(np.stack([np.full(len(b), node[a]), node[b]], 1))
+            for a, b in block_pairs(part, floor):
+                own = codes[first[a] : first[a + 1]]
+                mark[own] = True
+                length = first[b + 1] - first[b]
+                shared = np.add.reduceat(mark[codes[gather(first[b], length)]], np.cumsum(length) - length, dtype=np.int64)
+                mark[own] = False
+                for other in b[100 * shared >= percent * (n[a] + n[b] - shared)].tolist():
+                    x, y = find(int(label[a])), find(int(label[other]))
+                    if x != y:
+                        root[x] = y
+                        found.append((node[a], node[other]))
             if found:
-                pairs = np.concatenate(found)
+                pairs = np.array(found)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], ["a", "b"])
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    rows = rows.withColumn("_pair", F.explode(other)).select("key", "_pair.i", "_pair.j", "block", "node", "label", "n", "registers")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(work, "a long, b long").distinct()
+    return in_blocks(members).mapInArrow(work, "a long, b long").distinct()
 
 
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -245,15 +296,21 @@ def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
     labels = write_table(connected_components(links), "labels")
 
     # buckets of three or more that hold several components: compare across them
-    open_ = bands.join(buckets.where("size > 2"), "key").join(labels, "node", "left").select("key", "size", "node", F.coalesce("component", "node").alias("label"))
+    floor = percent / 100 - MARGIN
+    open_ = bands.join(buckets.where("size > 2"), "key").join(labels, "node", "left").select("key", "size", "band", "node", F.coalesce("component", "node").alias("label"))
     open_ = write_table(open_, "open")
     mixed = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     mixed = write_table(mixed, "mixed")
-    members = open_.join(mixed, "key").join(classes.select("node", "n", "registers"), "node")
-    more = write_table(cross_pairs(members, percent / 100 - MARGIN).join(pairs, ["a", "b"], "left_anti"), "cross")
+    members = write_table(open_.join(mixed, "key").join(classes.select("node", "n", "registers"), "node"), "members")
+    some = write_table(cross_members(members, floor), "some")
     drop_table(open_, mixed, labels, pairs, buckets)
-    if not more.isEmpty():
-        links = write_table(links.union(confirmed(more, classes, docs, id_col, text_col, percent)), "links")
+    if not some.isEmpty():
+        wanted = write_table(classes.join(some.select("node").distinct(), "node", "left_semi").select("node", "id", "key"), "wanted")
+        sets = write_table(full_sets(docs, wanted, id_col, text_col), "sets")
+        members = members.join(some, ["key", "node"]).join(sets.dropDuplicates(["node"]), "node")
+        links = write_table(links.union(cross_links(members, floor, percent)), "links")
+        drop_table(wanted, sets)
+    drop_table(some)
     labels = write_table(connected_components(links), "labels")
 
     named = labels.join(classes.select("node", "least"), "node")
