@@ -105,7 +105,7 @@ WINDOWS = f" window w as ({W})" + "".join(f", w{n} as ({W} rows between {n - 1}
 
 
 def values(rows: list[tuple]) -> str:
-    literal = lambda v: "null" if v is None else "'" + v + "'" if isinstance(v, str) else repr(v)
+    literal = lambda v: "null" if v is None else "'" + v + "'" if isinstance(v, str) else f"{v!r}::double" if isinstance(v, float) else repr(v)
     return "values " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows)
 
 
