@@ -153,32 +153,32 @@ def build(counted: pd.DataFrame, languages: list[str]) -> Model:
     return Model(languages, symbol, table.ravel(), cost)
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score (the posterior of the language under equal priors) to ``keep`` columns, or to the id."""
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add ``names``, lang_pred and score (the posterior of the language under equal priors) to ``keep`` columns, or to the id."""
     keep = keep or [id_col]
     letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CONTEXTS
     fields = [docs.schema[k] for k in keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        names = pa.array([*own.languages, "und"])
+        labels = pa.array([*own.languages, "und"])
         for rows, raw, off in chunks(batches, text=0):
             nats = own.code_lengths(raw, off)
             best = nats.argmin(1)
             score = 1 / np.exp(np.maximum(nats.min(1)[:, None] - nats, -700)).sum(1)
             ok = rows.column(1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(i + 2) for i in range(len(keep))), names.take(pa.array(np.where(ok, best, len(own.languages)))), pa.array(np.where(ok, score, 0.0))],
+                [*(rows.column(i + 2) for i in range(len(keep))), labels.take(pa.array(np.where(ok, best, len(own.languages)))), pa.array(np.where(ok, score, 0.0))],
                 [*(f"c{i}" for i in range(len(keep))), "lang_pred", "score"],
             )
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
     out = docs.select(F.col(text_col).alias("_text"), letter.alias("_letter"), *(F.col(k).alias(f"c{i}") for i, k in enumerate(keep)))
     out = out.mapInArrow(work, f"{schema}, lang_pred string, score double")
-    return out.withColumnsRenamed({f"c{i}": k for i, k in enumerate(keep)})
+    return out.toDF(*keep, *names)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -206,6 +206,6 @@ def stays(text: Column, rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
     """Add the five counts, base_failed and kept to every row."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    c = F.col("_counts")
-    out = docs.drop(*own, "base_failed", "kept").withColumn("_counts", counts_of(F.col(text_col)))
-    return out.withColumns({k: c[k] for k in own} | {"base_failed": base_failed(c), "kept": ~base_failed(c) & verdict(rules, c)}).drop("_counts")
+    c = F.col("__counts")
+    out = docs.drop(*own, "base_failed", "kept").withColumn("__counts", counts_of(F.col(text_col)))
+    return out.withColumns({k: c[k] for k in own} | {"base_failed": base_failed(c), "kept": ~base_failed(c) & verdict(rules, c)}).drop("__counts")

@@ -89,7 +89,7 @@ def blocked_aliases(links: DataFrame, rules: list[tuple[str, str, str]]) -> Data
     nodes = edges.select(F.col("a").alias("node"), F.col("source").alias("url")).union(edges.select("b", "target")).distinct()
     rule = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
     blocked = nodes.where(rule["verdict"] == "block").join(parts, "node").select("component").distinct()
-    return write_table(parts.join(blocked, "component").select(F.col("node").alias("_alias")).distinct(), "aliases")
+    return write_table(parts.join(blocked, "component").select(F.col("node").alias("__alias")).distinct(), "aliases")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -98,10 +98,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], links: DataFrame
     aliases = blocked_aliases(found if links is None else found.union(links.select("source", "target")), rules)
     url = F.col(url_col)
     out = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(url), "path": path_of(url)})
-    out = out.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
+    out = out.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     spread = F.lit(None).cast("string")
     if aliases is not None:
-        out = out.withColumn("_alias", F.xxhash64(node_of(url))).join(small(aliases).withColumn("_hit", F.lit(True)), "_alias", "left")
-        spread = F.when(F.col("_hit") & node_of(url).isNotNull(), F.lit("block"))
-    out = out.withColumns({"rule": F.col("_rule")["rule"], "verdict": F.coalesce(F.col("_rule")["verdict"], spread, F.lit("allow"))})
-    return out.drop("_rule", "_alias", "_hit")
+        out = out.withColumn("__alias", F.xxhash64(node_of(url))).join(small(aliases).withColumn("__hit", F.lit(True)), "__alias", "left")
+        spread = F.when(F.col("__hit") & node_of(url).isNotNull(), F.lit("block"))
+    out = out.withColumns({"rule": F.col("__rule")["rule"], "verdict": F.coalesce(F.col("__rule")["verdict"], spread, F.lit("allow"))})
+    return out.drop("__rule", "__alias", "__hit")

@@ -215,9 +215,9 @@ def test_pipeline(spark):
 def test_stages_take_odd_rows(spark):
     base = spark.read.parquet(f"{SMALL}/documents.parquet")
     kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
-    schema = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", _id long, node long"
+    schema = ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", _id long, node long, score long, lang_pred long, kept long, c0 long, doc long, _key long, start long"
     text = " ".join(VOCABULARY[:60])
-    odd = spark.createDataFrame([(None, text, None, None, None, 1, 1), (5, None, None, None, None, 1, 1), (6, "", "en", "s", 0, 1, 1), (7, text, "en", "s", 9, 1, 1), (7, text, "en", "s", 9, 1, 1)], schema)
+    odd = spark.createDataFrame([(None, text, None, None, None, 1, 1, 1, 1, 1, 1, 1, 1, 1), (5, None, None, None, None, 1, 1, 1, 1, 1, 1, 1, 1, 1), (6, "", "en", "s", 0, 1, 1, 1, 1, 1, 1, 1, 1, 1), (7, text, "en", "s", 9, 1, 1, 1, 1, 1, 1, 1, 1, 1), (7, text, "en", "s", 9, 1, 1, 1, 1, 1, 1, 1, 1, 1)], schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd, SMALL).count() >= 0, name
         assert stage(spark, base.where("false"), SMALL).count() == 0, name
