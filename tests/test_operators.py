@@ -260,3 +260,19 @@ def test_declared_schemas(spark, tmp_path):
     for version in (1, 2):
         ledger.save_state(spark.createDataFrame([(version,)], "x int"), str(tmp_path / "state"), version)
     assert ledger.load_state(spark, str(tmp_path / "state"), default).first()["x"] == 2
+
+
+def test_books_are_kept_over_batches(spark, tmp_path):
+    rows = [("p", 1, -30_000.0), ("p", 2, -30_000.0), ("q", 1, 5_000.0)]
+    for i, part in enumerate((rows[:1], rows[1:])):
+        spark.createDataFrame(part, "portfolio string, seq int, pnl double").coalesce(1).write.mode("append").parquet(str(tmp_path / "closes"))
+    stream = live.read_stream(spark, str(tmp_path / "closes"), "portfolio string, seq int, pnl double")
+    seen: dict = {}
+    query = (
+        live.books(stream, 1_000_000.0).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
+        .foreachBatch(lambda batch, _: seen.update({r["portfolio"]: (r["daily_pnl"], r["halt"]) for r in batch.collect()})).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(180)
+    assert seen == {"p": (-60_000.0, "SINGLE_DAY_LOSS_4PCT"), "q": (5_000.0, None)}
+    book = gate.book_states(spark.createDataFrame(rows, "portfolio string, seq int, pnl double"), "portfolio", ["seq"], 1_000_000.0).collect()
+    assert {(r["portfolio"], r["seq"]): r["halt"] for r in book} == {("p", 1): None, ("p", 2): "SINGLE_DAY_LOSS_4PCT", ("q", 1): None}
