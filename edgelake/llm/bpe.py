@@ -16,14 +16,15 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from edgelake.llm.arrays import chunks, gather, hash_spans
+from edgelake.llm.arrays import CACHES, chunks, gather, hash_spans
+from edgelake.llm.shared import bound_batches
 
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
 # Unicode's White_Space property.
@@ -100,8 +101,7 @@ class Vocabulary:
             self.bytes[i] = token.encode()
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    @property
-    @lru_cache(1)
+    @cached_property
     def library(self):
         import os
 
@@ -312,12 +312,15 @@ def by_library(vocab: Vocabulary, tokens: list[bytes]) -> list[list[int]]:
     return [e.ids for e in made]
 
 
-@lru_cache(4)
+@lru_cache(1)
 def encoder(path: str, encode_missing: Callable) -> Encoder:
     """One encoder in each worker process, so that tasks share what it remembers."""
     return Encoder(vocabulary(path), encode_missing)
 
 
+CACHES += [encoder, vocabulary]
+
+
 def decoder(vocab: Vocabulary) -> Callable[[np.ndarray, np.ndarray], list[str]]:
     """A function from ids end to end and offsets by text to decoded texts; broken UTF-8 becomes U+FFFD."""
     flat = np.frombuffer(b"".join(vocab.bytes), np.uint8)
@@ -341,6 +344,7 @@ def binary_slices(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_tokens, ids (binary, little-endian unsigned 32 bit) and decoded (string)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, decode = encoder(tokenizer, by_tree), decoder(vocabulary(tokenizer))

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.llm.arrays import chunks
+from edgelake.llm.arrays import chunks, make_room
+from edgelake.llm.shared import bound_batches
 
 ORDER = 3
 #: Labelled rows of a language that are counted, about; they are chosen by a hash of the text.
@@ -67,6 +68,7 @@ class Model:
 
 def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, gram, n): occurrences of each byte after the three bytes before it, as one 32-bit number."""
+    make_room()
     for rows, raw, off in chunks(batches, text=1):
         padded, last = [], rows.column(0).to_pylist()
         for i, lang in enumerate(last):
@@ -79,6 +81,7 @@ def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """Count contexts on about ``sample`` rows of each language and build the table of costs."""
+    bound_batches(docs.sparkSession)
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     sizes = {k: n for k, n in sizes.items() if n >= LEAST_SHARE * sum(sizes.values())}
@@ -159,10 +162,12 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     letter = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
     if model is None:
         return docs.select(*keep, F.lit("und").alias(names[0]), F.lit(0.0).alias(names[1]))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CONTEXTS
     fields = [docs.schema[k] for k in keep]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         own = shared.value
         labels = pa.array([*own.languages, "und"])
         for rows, raw, off in chunks(batches, text=0):

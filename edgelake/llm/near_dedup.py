@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.llm.arrays import chunks, gather, hash_spans, lower, mix, word_spans
-from edgelake.llm.shared import connected_components, drop_table, small, write_table
+from edgelake.llm.arrays import chunks, gather, hash_spans, lower, make_room, mix, word_spans
+from edgelake.llm.shared import bound_batches, connected_components, drop_table, small, write_table
 
 WORDS = 5
 REGISTERS, BAND = 96, 4
@@ -98,6 +98,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for rows, raw, off in chunks(batches):
             shingles, bounds = shingle_hashes(raw, off)
             found = registers(shingles, bounds)
@@ -115,6 +116,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
     """(node, shingles) of the classes ``wanted`` (node, id, key): their texts are read again."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for rows, raw, off in chunks(batches, text=0):
             shingles, bounds = shingle_hashes(raw, off)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(shingles.view(np.int64)))
@@ -281,6 +283,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_shingles, component_id (the smallest id reachable over links), kept and text_hash."""
+    bound_batches(docs.sparkSession)
     rows = write_table(sketch(docs, id_col, text_col), "sketches")
     some = rows.where("n > 0")
     own = F.min(F.struct("id", "key"))

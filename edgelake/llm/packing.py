@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from edgelake.llm.arrays import chunks
 from edgelake.llm.bpe import binary_slices, by_library, encoder
-from edgelake.llm.shared import write_table
+from edgelake.llm.shared import bound_batches, write_table
 
 #: Full sequences that a group of pieces would fill.
 GROUP = 1024
@@ -31,6 +31,7 @@ GROUP = 1024
 def cut(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of the documents' ids: ``id_col``, piece, start, length, ids (binary, little-endian unsigned 32 bit)."""
     kind = docs.schema[id_col].dataType.simpleString()
+    bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, by_library)

@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.llm.arrays import chunks, gather, hash_spans
+from edgelake.llm.arrays import CACHES, chunks, gather, hash_spans
 from edgelake.llm.bpe import Memo, Vocabulary, pre_tokens, vocabulary
+from edgelake.llm.shared import bound_batches
 
 NONE = np.int64(1) << np.int64(60)
 
@@ -117,17 +118,21 @@ class TokenCounter:
         return n
 
 
-@lru_cache(4)
+@lru_cache(1)
 def counter(path: str) -> TokenCounter:
     """One counter in each worker process."""
     return TokenCounter(vocabulary(path))
 
 
+CACHES.append(counter)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_bytes and n_tokens."""
     kind = docs.schema[id_col].dataType.simpleString()
     if vocabulary(tokenizer).words_only:
         raise ValueError("counts are for byte-level vocabularies without word ends")
+    bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer)

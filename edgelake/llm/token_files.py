@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from edgelake.llm.arrays import chunks
 from edgelake.llm.bpe import binary_slices, by_library, encoder, vocabulary
+from edgelake.llm.shared import bound_batches
 
 NO_ID = -(1 << 63)
 #: Ids read back at once.
@@ -62,6 +63,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
             store.move(f"{own}.{end}", f"{name}.{end}")
         yield pa.RecordBatch.from_pylist([{"shard": shard, "n_docs": n, "n_tokens": total}])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(work, "shard long, n_docs long, n_tokens long").collect()
     base, out = 0, []
