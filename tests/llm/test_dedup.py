@@ -175,6 +175,32 @@ def test_passages_of_copies_and_long_texts(spark, passages):
     assert sorted((r["doc_id"], len(r["text"].split())) for r in left) == [(1, 40_000), (3, 160), (4, 2)]
 
 
+@pytest.mark.parametrize(("every", "least"), [(20, 40), (10, 37)])
+def test_fuzzy_passages_are_found(spark, every, least):
+    """Of 40 passages of 80 words with one word in 20 or 10 replaced."""
+    rng = random.Random(every)
+    fresh = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    rows = []
+    for i in range(40):
+        passage = fresh(80)
+        rows += [(2 * i, " ".join(fresh(50) + passage + fresh(30))), (2 * i + 1, " ".join(fresh(20) + edited(rng, passage, 80 // every) + fresh(70)))]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["source_id"] == r["doc_id"] - 1 for r in found)
+    assert len({r["doc_id"] for r in found}) >= least
+
+
+def test_a_passage_with_two_sources_is_cut_whole(spark):
+    """The first 45 of 90 words stand in document 0, all of them in 1: 2 loses all."""
+    rng = random.Random(4)
+    fresh = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    passage = fresh(90)
+    rows = [(0, fresh(60) + passage[:45] + fresh(60)), (1, fresh(70) + passage + fresh(50)), (2, fresh(40) + passage + fresh(80))]
+    found = substring_dedup.passages(spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")).collect()
+    covered = {x for r in found if r["doc_id"] == 2 for x in range(r["start"], r["end"])}
+    assert len(covered & set(range(40, 130))) >= 86
+    assert not [r for r in found if r["doc_id"] == 1]
+
+
 def naive_chain(q, r):
     best = [0.0] * len(q)
     for i in range(len(q)):
