@@ -3,9 +3,10 @@
 Vectors are compared only within a label. Equal vectors of a label are one node. The graph starts from random
 hyperplane trees: vectors on the same side of a tree's planes meet in a leaf, leaves are cut into blocks, and each
 vector keeps its K nearest. Rounds of NN-descent then join each vector's neighbours with each other, until few lists
-change. A vector whose whole list lies over the threshold is saturated: its list can't hold all links. Links lie
-within the components of the threshold graph, so the lists are enlarged to the whole component there: its vectors
-are compared exhaustively, block by block, in double precision, which counts every link without emitting pairs. A fixed
+change. A vector whose whole list lies over the threshold is saturated: its list can't hold all links. Links between
+components that are lost so have two saturated ends: saturated vectors that meet in a leaf are all compared across
+components, which joins them. Links then lie within components, where all vectors are compared exhaustively, block
+by block, in double precision, which counts every link without emitting pairs. A fixed
 set of vectors (hash of the id) is compared with every vector of its label to audit recall; while it is below the
 target, trees and rounds are added.
 
@@ -70,9 +71,10 @@ def planes(seed: int, bits: int, size: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((bits, size))
 
 
-def leaves(nodes: DataFrame, sizes: dict, trees: range, k: int) -> DataFrame:
-    """Edges between vectors of the same leaf of a tree, at most k of each vector, tree and block."""
+def leaf_rows(nodes: DataFrame, sizes: dict, trees: range, *more: str) -> DataFrame:
+    """(node, label, size, vector, ``more`` columns, tree, leaf): the leaf of each vector in each tree."""
     bits = {key: max(0, int(np.ceil(np.log2(max(1, n / LEAF))))) for key, n in sizes.items()}
+    names = ["node", "label", "size", "vector", *more]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,26 +89,93 @@ def leaves(nodes: DataFrame, sizes: dict, trees: range, k: int) -> DataFrame:
                     columns.append((side << np.arange(most)[None, :]).sum(1))
                 codes = np.stack(columns, 1)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in ("node", "label", "size", "vector")), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(trees), pa.int32()), pa.array(codes.ravel()))],
-                    ["node", "label", "size", "vector", "codes"],
+                    [*(part.column(c) for c in names), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(trees), pa.int32()), pa.array(codes.ravel()))],
+                    [*names, "codes"],
                 )
 
+    nodes = nodes.select(*names)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    coded = nodes.mapInArrow(code, f"{schema}, codes array<long>")
+    return write_table(coded, "codes").select(*names, F.posexplode("codes").alias("tree", "leaf"))
+
+
+def leaves(nodes: DataFrame, sizes: dict, trees: range, k: int) -> DataFrame:
+    """Edges between vectors of the same leaf of a tree, at most k of each vector, tree and block."""
+
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sorted_groups(batches, ["label", "size", "tree", "leaf", "block"]):
             x, node = vectors(part.column("vector").chunk(0)), part.column("node").to_numpy()
             for at in range(0, len(x), BLOCK):
                 yield edge_batch(*nearest(x[at : at + BLOCK], node[at : at + BLOCK], x, node, k))
 
-    kind = nodes.schema["label"].dataType.simpleString()
-    coded = nodes.mapInArrow(code, f"node long, label {kind}, size int, vector array<double>, codes array<long>")
-    rows = write_table(coded, "codes").select("node", "label", "size", "vector", F.posexplode("codes").alias("tree", "leaf"))
+    rows = leaf_rows(nodes, sizes, trees)
     # a leaf of very similar vectors can't be split by planes; its blocks are random, and descent joins them
-    counts = write_table(rows.groupBy("label", "size", "tree", "leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > 4 * LEAF), "leaves")
     keys = ["label", "size", "tree", "leaf"]
+    counts = write_table(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where(F.col("rows") > 4 * LEAF), "leaves")
     rows = rows.join(small(counts), keys, "left").withColumn("block", F.pmod(F.xxhash64("node", "tree"), F.coalesce(F.ceil(F.col("rows") / (2 * LEAF)), F.lit(1))).cast("int")).drop("rows")
     return rows.repartition(*keys, "block").sortWithinPartitions(*keys, "block").mapInArrow(match, EDGES)
 
 
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair (i, j) of blocks, of ``blocks`` in its group, that holds its own block."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    return rows.withColumn("_p", F.explode(pairs)).select("*", "_p.i", "_p.j").drop("_p")
+
+
+def joining(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) of components, those that join what earlier ones left apart."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    out = []
+    for x, y in np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).tolist():
+        u, v = find(x), find(y)
+        if u != v:
+            root[u] = v
+            out.append((x, y))
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def crossing(parts: DataFrame, graph: DataFrame, nodes: DataFrame, trees: range, threshold: float, k: int) -> DataFrame:
+    """(a, b): components that a link joins which no list of k could hold.
+
+    A list loses a link only to k nearer ones, and then both its ends are saturated. So all saturated vectors that meet
+    in a leaf are compared across components, however many there are; leaves with one component have nothing to find.
+    """
+    full = graph.groupBy("node").agg(F.count("*").alias("n"), F.min("cosine").alias("last")).where((F.col("n") >= k) & (F.col("last") >= threshold))
+    rows = write_table(nodes.select("node", "label", "size", "vector").join(full.select("node"), "node").join(parts, "node"), "saturated")
+    sizes = {(r["label"], r["size"]): r["count"] for r in rows.groupBy("label", "size").count().collect()}
+    rows = leaf_rows(rows, sizes, trees, "component")
+    keys = ["label", "size", "tree", "leaf"]
+    mixed = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").drop("x", "y")
+    rows = block_pairs(rows.join(small(write_table(mixed, "mixed")), keys))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, [*keys, "i", "j"]):
+            x, component, block = vectors(part.column("vector").chunk(0)), *(part.column(c).to_numpy() for c in ("component", "block"))
+            i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+            a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            at, to = np.nonzero((x[a] @ x[b].T >= threshold) & (component[a][:, None] != component[b][None, :]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in joining(component[a][at], component[b][to])], ["a", "b"])
+
+    return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j").mapInArrow(work, "a long, b long")
+
+
+def merged(parts: DataFrame, extra: DataFrame) -> DataFrame:
+    """The components (node, component) after the written links ``extra`` (a, b) between them."""
+    if extra.isEmpty():
+        return parts
+    return write_table(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra)), "parts")
+
+
 def by_length(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
     """Rows of equally long vectors together."""
     size = batch.column("size").to_numpy()
@@ -176,9 +245,7 @@ def count_links(parts: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     rows = parts.join(nodes, "node")
     sizes = write_table(parts.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"), "sizes")
     rows = rows.join(small(sizes), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    rows = rows.withColumn("_p", F.explode(pairs)).select("component", "_p.i", "_p.j", "block", "node", "weight", "vector")
+    rows = block_pairs(rows).select("component", "i", "j", "block", "node", "weight", "vector")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
@@ -235,6 +302,7 @@ def components(table: DataFrame, threshold: float = 0.98, id_col: str = "vec_id"
 
     links = graph.where(F.col("cosine") >= threshold).select(F.col("node").alias("a"), F.col("neighbour").alias("b"))
     parts = write_table(connected_components(links), "parts")
+    parts = merged(parts, write_table(crossing(parts, graph, nodes, range(trees), threshold, K), "crossing"))
     counts = count_links(parts, nodes, threshold)
     least = write_table(parts.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id")), "least")
     found = parts.join(least, "component").join(counts, "node", "left").select("node", "component_id", "links")

@@ -131,6 +131,25 @@ def test_vectors_equal_brute_force(spark):
     assert embedding_dedup.components(table.where("false")).count() == 0
 
 
+def test_tight_groups_with_links_across_are_one_component(spark):
+    """Groups of 12 with cosines over 0.999 inside and about 0.984 across: no list of 8 holds a link across."""
+    rng = np.random.default_rng(8)
+    rows, k = [], 0
+    for label in range(3):
+        a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        for centre in (a, 0.984 * a + np.sqrt(1 - 0.984**2) * b):
+            for _ in range(12):
+                rows.append((k, (centre + 0.002 * rng.standard_normal(32)).tolist(), label))
+                k += 1
+    got = {r["vec_id"]: r for r in embedding_dedup.components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.98) & (np.arange(72)[:, None] // 24 == np.arange(72) // 24) & ~np.eye(72, dtype=bool)
+    assert (linked.sum(1) > 12).any()
+    assert all(got[i]["n_links"] == linked[i].sum() and got[i]["component_id"] == i // 24 * 24 for i in range(72))
+    assert sum(r["kept"] for r in got.values()) == 3
+
+
 def test_vectors_query(spark):
     assert queries()["op10_embeddings"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
 
