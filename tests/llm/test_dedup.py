@@ -220,6 +220,32 @@ def test_a_passage_with_two_sources_is_cut_whole(spark):
     assert not [r for r in found if r["doc_id"] == 1]
 
 
+def test_passages_whose_parts_have_earlier_sources_are_found(spark):
+    """Two parts of 40 words, three of 25, and three of 24 of which each two neighbours stand together earlier."""
+    rng = random.Random(6)
+    fresh = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    rows, wanted = [], {}
+
+    def add(words, source=None):
+        before = fresh(50)
+        if source is not None:
+            wanted[len(rows)] = (source, range(50, 50 + len(words)))
+        rows.append((len(rows), " ".join(before + words + fresh(50))))
+        return len(rows) - 1
+
+    for sizes, together in (((40, 40), 1), ((25, 25, 25), 1), ((24, 24, 24), 2)):
+        parts = [fresh(n) for n in sizes]
+        for i in range(len(parts) - together + 1):
+            add(sum(parts[i : i + together], []))
+        source = add(sum(parts, []))
+        add(sum(parts, []), source)
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(wanted)
+    for doc, (source, words) in wanted.items():
+        covered = {x for r in found if r["doc_id"] == doc and r["source_id"] == source for x in range(r["start"], r["end"])}
+        assert len(covered & set(words)) >= len(words) - 2 and len(covered - set(words)) <= 4
+
+
 def naive_chain(q, r):
     best = [0.0] * len(q)
     for i in range(len(q)):
