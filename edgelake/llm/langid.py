@@ -34,8 +34,8 @@ SAMPLE = 1_500
 MOST_CONTEXTS = 24_000
 #: Bytes coded at once.
 BLOCK = 1 << 18
-#: A language needs this share of all known rows, so that a few wrong labels make no model.
-LEAST_SHARE = 0.0005
+#: A language needs this share of all known rows or so many of them, so that a few wrong labels make no model.
+LEAST_SHARE, LEAST_ROWS = 0.0005, 20
 
 
 @dataclass
@@ -84,7 +84,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample:
     bound_batches(docs.sparkSession)
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
-    sizes = {k: n for k, n in sizes.items() if n >= LEAST_SHARE * sum(sizes.values())}
+    sizes = {k: n for k, n in sizes.items() if n >= min(LEAST_ROWS, LEAST_SHARE * sum(sizes.values()))}
     if not sizes:
         return None
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))))

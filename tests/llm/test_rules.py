@@ -7,6 +7,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgelake.llm import langid, quality, urls
 from edgelake.llm.queries import URL_RULES, oracle_sql, queries
@@ -62,6 +63,16 @@ def test_language(spark):
     assert sum(rows[k]["lang_pred"] == docs[k]["lang"] for k in held) >= 0.95 * len(held)
 
 
+def test_a_rare_language_is_learned(spark):
+    """25 labelled rows among 60,000 are a share of 0.04 %."""
+    many = spark.range(60_000).select(F.lit("en").alias("lang"), F.concat(F.lit("the cat and the dog of house "), F.col("id").cast("string")).alias("text"))
+    few = spark.range(25).select(F.lit("fr").alias("lang"), F.concat(F.lit("le chat et la maison du chien "), F.col("id").cast("string")).alias("text"))
+    model = langid.fit(many.union(few))
+    assert model.languages == ["en", "fr"]
+    docs = spark.createDataFrame([(1, "la maison du chat"), (2, "the house of the cat")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()} == {1: "fr", 2: "en"}
+
+
 def test_language_cases(spark):
     train = spark.createDataFrame([("en", "the cat and the dog of the house")] * 20 + [("fr", "le chat et la maison du chien")] * 20 + [(None, "x"), ("en", None)], "lang string, text string")
     model = langid.fit(train)
