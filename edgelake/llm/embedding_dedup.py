@@ -8,7 +8,7 @@ components that are lost so have two saturated ends: saturated vectors that meet
 components, which joins them. Links then lie within components, where all vectors are compared exhaustively, block
 by block, in double precision, which counts every link without emitting pairs. A fixed
 set of vectors (hash of the id) is compared with every vector of its label to audit recall; while it is below the
-target, trees and rounds are added.
+target, trees and rounds are added, and if it stays below, all vectors of each label are compared.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and those with a null label, link
 with nothing and are their own component; vectors of different lengths never link; repeated rows count as vectors of
@@ -169,6 +169,25 @@ def crossing(parts: DataFrame, graph: DataFrame, nodes: DataFrame, trees: range,
     return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j").mapInArrow(work, "a long, b long")
 
 
+def compare_all(nodes: DataFrame, parts: DataFrame, sizes: dict, threshold: float) -> DataFrame:
+    """(a, b): components that any link joins; every pair of blocks of a label is compared, whatever that costs."""
+    kind = nodes.schema["label"].dataType.simpleString()
+    keys = ["label", "size"]
+    blocks = nodes.sparkSession.createDataFrame([(*key, -(-n // BLOCK)) for key, n in sizes.items()], f"label {kind}, size int, blocks int")
+    rows = nodes.join(parts, "node", "left").select("node", *keys, "vector", F.coalesce("component", "node").alias("component"))
+    rows = block_pairs(rows.join(small(blocks, len(sizes)), keys))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, [*keys, "i", "j"]):
+            x, component, block = vectors(part.column("vector").chunk(0)), *(part.column(c).to_numpy() for c in ("component", "block"))
+            a, b = (np.flatnonzero(block == part.column(c)[0].as_py()) for c in ("i", "j"))
+            at, to = np.nonzero((x[a] @ x[b].T >= threshold) & (component[a][:, None] != component[b][None, :]))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in joining(component[a][at], component[b][to])], ["a", "b"])
+
+    return rows.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j").mapInArrow(work, "a long, b long")
+
+
 def merged(parts: DataFrame, extra: DataFrame) -> DataFrame:
     """The components (node, component) after the written links ``extra`` (a, b) between them."""
     if extra.isEmpty():
@@ -295,7 +314,7 @@ def components(table: DataFrame, threshold: float = 0.98, id_col: str = "vec_id"
             graph = new
             if changed <= CHANGED * K * n:
                 break
-        if attempt == AUDIT_ROUNDS or audit(nodes, graph, threshold, n) >= RECALL:
+        if (whole := audit(nodes, graph, threshold, n) >= RECALL) or attempt == AUDIT_ROUNDS:
             break
         graph = write_table(best(graph.union(leaves(nodes, sizes, range(trees, 2 * trees), K)), K), "graph")
         trees *= 2
@@ -303,6 +322,8 @@ def components(table: DataFrame, threshold: float = 0.98, id_col: str = "vec_id"
     links = graph.where(F.col("cosine") >= threshold).select(F.col("node").alias("a"), F.col("neighbour").alias("b"))
     parts = write_table(connected_components(links), "parts")
     parts = merged(parts, write_table(crossing(parts, graph, nodes, range(trees), threshold, K), "crossing"))
+    if not whole:
+        parts = merged(parts, write_table(compare_all(nodes, parts, sizes, threshold), "exact"))
     counts = count_links(parts, nodes, threshold)
     least = write_table(parts.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id")), "least")
     found = parts.join(least, "component").join(counts, "node", "left").select("node", "component_id", "links")

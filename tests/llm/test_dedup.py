@@ -150,6 +150,17 @@ def test_tight_groups_with_links_across_are_one_component(spark):
     assert sum(r["kept"] for r in got.values()) == 3
 
 
+def test_vectors_are_all_compared_if_recall_stays_low(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audit", lambda *_: 0.0)
+    monkeypatch.setattr(embedding_dedup, "leaves", lambda nodes, *_: nodes.sparkSession.createDataFrame([], embedding_dedup.EDGES))
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((15, 16))
+    rows = [(i, (centres[i // 2] + 0.01 * rng.standard_normal(16)).tolist(), i // 2 % 2) for i in range(30)]
+    got = {r["vec_id"]: r for r in embedding_dedup.components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i]["n_links"] == 1 and got[i]["component_id"] == i // 2 * 2 for i in range(30))
+
+
 def test_vectors_query(spark):
     assert queries()["op10_embeddings"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
 
