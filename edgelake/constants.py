@@ -10,7 +10,7 @@ BANDIT_TRADES, META_TRADES, META_THRESHOLD = 200, 150, 0.58
 IV_MULTIPLIER, RISK_FREE = 1.10, 0.065
 REGIMES = ["H_BEAR", "L_BEAR", "SIDEWAYS", "L_BULL", "H_BULL"]  # by ascending mean return
 BULL = ["H_BULL", "L_BULL"]
-STRIKE_STEPS = {"NIFTY": 50, "BANKNIFTY": 100, "FINNIFTY": 50, "MIDCPNIFTY": 25}
+STRIKE_STEPS = {"NIFTY": 50, "BANKNIFTY": 100, "FINNIFTY": 50, "MIDCPNIFTY": 25, "GOLD": 100, "SILVER": 100, "CRUDEOIL": 50, "COPPER": 5, "USDINR": 0.25, "EURUSD": 0.001}
 USD_PROXY = {"GOLD": "GOLD_USD", "SILVER": "SILVER_USD", "CRUDEOIL": "CRUDE_USD", "COPPER": "COPPER_USD"}
 SLIPPAGE_OPTIONS = {2: 0.05, 5: 0.06, 10: 0.08, 15: 0.10}
 SLIPPAGE_FUTURES = {2: 0.0015, 5: 0.0020, 10: 0.0025, 15: 0.0030}

@@ -80,11 +80,11 @@ def strike_step(instrument: Column, steps: dict[str, float] | None = None, defau
 
 
 def at_the_money(s: Column, step: Column) -> Column:
-    """The strike nearest to s, halves to the even multiple."""
-    return F.bround(s / step) * step
+    """The strike nearest to s, halves to the even multiple; null where that is 0, as an option can't have it."""
+    return F.nullif(F.bround(s / step) * step, F.lit(0.0))
 
 
 def atm_premium(s: Column, sigma: Column, step: Column, kind: Column, days: Column, r: float = RISK_FREE) -> Column:
-    """The premium of an at-the-money option; null where the volatility is null or not positive."""
-    value = black_scholes(s, at_the_money(s, step), days / 252.0, r, sigma, kind)
-    return F.when((sigma > 0) & s.isNotNull(), value)
+    """The premium of an at-the-money option; null where there is no strike, or the volatility is null or not positive."""
+    strike = at_the_money(s, step)
+    return F.when((sigma > 0) & strike.isNotNull(), black_scholes(s, strike, days / 252.0, r, sigma, kind))

@@ -4,43 +4,44 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def student_p(t: float, n: float) -> float | None:
-    """Two-sided p-value of Student's t with n - 1 degrees of freedom, by the continued fraction of the incomplete beta function."""
-    if t is None or n is None or math.isnan(t) or math.isnan(n) or n < 2:
-        return None
-    df = n - 1
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if not 0 < x < 1:
-        return float(x >= 1)
-
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d = 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / d
-        total = d
-        for m in range(1, 500):
-            for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 / (1 + step * d)
-                c = 1 + step / c
-                total *= c * d
-            if abs(c * d - 1) < 1e-15:
-                break
-        return total
-
-    if x < (a + 1) / (a + b + 2):
-        return front * fraction(a, b, x) / a
-    return 1 - front * fraction(b, a, 1 - x) / b
+def student_p(t: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two-sided p-values of Student's t with n - 1 degrees of freedom, by the continued fraction of the incomplete beta function; NaN for fewer than two values."""
+    t, n = np.broadcast_arrays(np.asarray(t, float), np.asarray(n, float))
+    ok = np.isfinite(t) & (n >= 2)
+    df = np.where(ok, n - 1, 1.0)
+    x = df / (df + np.where(ok, t, 0.0) ** 2)
+    inside = (x > 0) & (x < 1)
+    x0 = np.where(inside, x, 0.5)
+    a, b = df / 2, np.full(df.shape, 0.5)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    distinct, at = np.unique(df, return_inverse=True)  # few
+    constant = (gamma((distinct + 1) / 2) - gamma(distinct / 2) - math.lgamma(0.5))[at].reshape(df.shape)
+    front = np.exp(constant + a * np.log(x0) + b * np.log1p(-x0))
+    swap = x0 >= (a + 1) / (a + b + 2)
+    a, b, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x0, x0)
+    c, d = np.ones(df.shape), 1 / (1 - (a + b) * z / (a + 1))
+    total = d.copy()
+    for m in range(1, 500):
+        for step in (m * (b - m) * z / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * z / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d)
+            c = 1 + step / c
+            total *= c * d
+        if not (np.abs(c * d - 1) >= 1e-15).any():
+            break
+    tail = front * total / a
+    return np.where(ok, np.where(inside, np.where(swap, 1 - tail, tail), (x >= 1).astype(float)), np.nan)
 
 
 @F.pandas_udf(T.DoubleType())
 def p_value(t: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([student_p(*x) for x in zip(t, n, strict=True)], dtype="float64")
+    return pd.Series(student_p(t.to_numpy(float), n.to_numpy(float)), dtype="float64")  # NaN becomes null
 
 
 def t_statistic(x: Column) -> Column:

@@ -1,8 +1,9 @@
 """Event-driven backtest of the trigger rules with synthetic option premiums, and its scorecard.
 
-One trade may be open per instrument and direction, so each such pair is a walk of its own and capital never decides on an
-entry: pairs run in parallel, and compounding is an ordered product afterwards. With more pairs than the limit on open
-positions the walks would interact; then one group walks all of them.
+One trade may be open per instrument and direction, and MAX_POSITIONS at a time; capital never decides on an entry. With no more
+pairs than positions each pair is a walk of its own. With more, walks interact, but only while trades may be open: the
+time line is cut on days that no candidate trade spans, and the stretches between are walked in parallel. Compounding is
+an ordered product afterwards.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ def candidates(features: DataFrame, days: DataFrame, steps: dict[str, float] | N
     """Fillable signals by day: the latest feature row on or before a day decides, and prices the entry."""
     rows = synthetic_iv(features).drop("ret")
     names = [c for c in rows.columns if c not in ("instrument", "date")]
-    grid = days.crossJoin(F.broadcast(features.select("instrument").distinct()))  # instruments are few
+    names_of = features.groupBy().agg(F.collect_set("instrument").alias("_names"))  # one row
+    grid = days.crossJoin(F.broadcast(names_of)).withColumn("instrument", F.explode("_names")).drop("_names")
     grid = asof(grid.withColumnRenamed("day", "date"), rows.withColumn("row_date", F.col("date")), "date", ["instrument"], [*names, "row_date"])
     signals = backtest_triggers(grid.where("row_date is not null").withColumn("day", F.col("date")))
-    signals = signals.join(grid.select("instrument", F.col("date").alias("day"), F.col("close").alias("price"), "iv"), ["instrument", "day"])
+    signals = signals.withColumnRenamed("close", "price")
     table = F.create_map(*(F.lit(x) for kv in HOLDING.items() for x in kv))
     signals = signals.withColumns({"holding_period": table[F.col("edge_id")], "option_type": F.when(F.col("direction") == "LONG", "call").otherwise("put"), "step": strike_step(F.col("instrument"), steps)})
     value = atm_premium(F.col("price"), F.col("iv"), F.col("step"), F.col("option_type"), F.col("holding_period"))
@@ -65,10 +67,20 @@ def greedy(signals: DataFrame, days: DataFrame, pairs: int) -> DataFrame:
             keep.append(take)
         return pdf[keep][[f.name for f in fields]]
 
-    keys = ["instrument", "direction"] if alone else [F.lit("all")]
+    keys = ["instrument", "direction"] if alone else ["_stretch"]
+    if not alone:
+        rows = rows.join(F.broadcast(stretches(rows)), "day")  # a row a day
     return rows.groupBy(*keys).applyInPandas(work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
 
 
+def stretches(rows: DataFrame) -> DataFrame:
+    """(day, _stretch): days with candidates, cut where all candidate trades of earlier days are over. A date series goes through one task."""
+    by_day = rows.groupBy("day").agg(F.max(F.coalesce("exit_day", F.lit("9999-12-31").cast("date"))).alias("_until"))
+    before = F.max("_until").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1))
+    new = F.coalesce(before <= F.col("day"), F.lit(True)).cast("int")
+    return by_day.withColumn("_new", new).select("day", F.sum("_new").over(W.orderBy("day")).alias("_stretch"))
+
+
 def next_day(rows: DataFrame, days: DataFrame) -> DataFrame:
     """Add exit_day: the first of ``days`` on or after ``due`` (null if none); days are few and looked up in one array."""
     all_days = days.agg(F.sort_array(F.collect_set("exit_day")).alias("_days"))  # one row
@@ -92,7 +104,7 @@ def closed_trades(trades: DataFrame, features: DataFrame) -> DataFrame:
 
 def run(features: DataFrame, history: DataFrame, start: str, end: str, steps: dict[str, float] | None = None) -> DataFrame:
     days = trading_days(history, start, end)
-    pairs = 2 * features.select("instrument").distinct().count()
+    pairs = 2 * features.agg(F.count_distinct("instrument")).first()[0]
     return closed_trades(greedy(candidates(features, days, steps), days, pairs), features)
 
 

@@ -161,6 +161,11 @@ def book_states(closes: DataFrame, by: str, order: list[str], capital: float = C
     return rows.withColumn("_reason", reason).withColumn("halt", F.first("_reason", ignorenulls=True).over(over)).drop("_reason")
 
 
+def after_reset(halt: Column) -> Column:
+    """The halt that is left on a new day."""
+    return F.when(halt != "SINGLE_DAY_LOSS_4PCT", halt)
+
+
 def daily_reset(book: dict) -> dict:
     """A new day clears the day's pnl, and a halt for the day's loss only."""
     return book | {"daily_pnl": 0.0, "halt": None if book["halt"] == "SINGLE_DAY_LOSS_4PCT" else book["halt"]}

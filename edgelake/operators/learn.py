@@ -60,12 +60,12 @@ def bandit_choose(signals: DataFrame, sums: DataFrame, size: int = 10, alpha: fl
     return signals.withColumn("bandit_action", choose("context"))
 
 
-def gaussian_process(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Posterior mean with a squared-exponential kernel; the length scale maximizes the marginal likelihood over a grid."""
-    mean, scale = y.mean(), y.std() or 1.0
+def gaussian_process(x: np.ndarray, y: np.ndarray, at: np.ndarray, n: np.ndarray, deviation: float) -> np.ndarray:
+    """Posterior mean with a squared-exponential kernel, given means y of n observations each; the length scale maximizes the marginal likelihood over a grid."""
+    mean, scale = np.average(y, weights=n), deviation or 1.0
     z, best = (y - mean) / scale, (-np.inf, 1.0, None)
     for length in np.logspace(-5, 5, 81):
-        k = np.exp(-0.5 * ((x[:, None] - x) / length) ** 2) + 1e-10 * np.eye(len(x))
+        k = np.exp(-0.5 * ((x[:, None] - x) / length) ** 2) + np.diag(1e-10 / n)
         try:
             root = np.linalg.cholesky(k)
         except np.linalg.LinAlgError:
@@ -79,28 +79,35 @@ def gaussian_process(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray
     return mean + scale * (np.exp(-0.5 * ((at[:, None] - x) / best[1]) ** 2) @ best[2])
 
 
-def thresholds(observations: DataFrame, least_total: int = 50, least: int = 20, most: int = 2_000) -> DataFrame:
+def threshold_cells(observations: DataFrame) -> DataFrame:
+    """(param, threshold, pnl, squares, n): observations of known parameters averaged by cell, a thousandth of the parameter's bounds; beyond the bounds they count at the bound."""
+    table = lambda j: F.create_map(*(F.lit(x) for k, v in BOUNDS.items() for x in (k, v[j])))
+    low, high = (F.try_element_at(table(j), F.col("param")) for j in (0, 1))
+    width = (high - low) / 1000
+    cell = F.round((F.least(high, F.greatest(low, F.col("threshold"))) - low) / width) * width + low
+    rows = observations.where(F.col("param").isin(list(BOUNDS)) & F.col("threshold").isNotNull() & F.col("pnl").isNotNull())
+    return rows.groupBy("param", cell.alias("threshold")).agg(F.avg("pnl").alias("pnl"), F.avg(F.col("pnl") * F.col("pnl")).alias("squares"), F.count("*").alias("n"))
+
+
+def thresholds(observations: DataFrame, least_total: int = 50, least: int = 20) -> DataFrame:
     """(param, threshold): per parameter the best of 50 points in its bounds, or its default with too few observations.
 
-    A process over more than ``most`` distinct thresholds would need its cube in time: equal thresholds are averaged first, and
-    the grid of averages is bounded by rounding to a thousandth of the bounds.
+    The process sees the averages of at most 1,001 cells a parameter, weighted by their counts.
     """
     total = observations.count()
     bounds = BOUNDS
-    width = F.create_map(*(F.lit(x) for k, (a, b, _) in bounds.items() for x in (k, (b - a) / 1000)))
-    cell = F.round(F.col("threshold") / F.try_element_at(width, F.col("param"))) * F.try_element_at(width, F.col("param"))
-    rows = observations.where(F.col("param").isin(list(bounds))).groupBy("param", cell.alias("threshold")).agg(F.avg("pnl").alias("pnl"), F.count("*").alias("n"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["param"].iloc[0]
         low, high, default = bounds[name]
-        if pdf["n"].sum() >= least and total >= least_total:
-            grid = np.linspace(low, high, 50)
-            pdf = pdf.sort_values("threshold").head(most)
-            default = float(grid[gaussian_process(pdf["threshold"].to_numpy(), pdf["pnl"].to_numpy(), grid).argmax()])
+        n = pdf["n"].to_numpy(float)
+        if n.sum() >= least and total >= least_total:
+            grid, y = np.linspace(low, high, 50), pdf["pnl"].to_numpy()
+            deviation = np.sqrt(max(0.0, np.average(pdf["squares"], weights=n) - np.average(y, weights=n) ** 2))
+            default = float(grid[gaussian_process(pdf["threshold"].to_numpy(), y, grid, n, deviation).argmax()])
         return pd.DataFrame({"param": [name], "threshold": [default]})
 
-    found = rows.groupBy("param").applyInPandas(work, "param string, threshold double")
+    found = threshold_cells(observations).groupBy("param").applyInPandas(work, "param string, threshold double")
     names = observations.sparkSession.createDataFrame([(k, v[2]) for k, v in bounds.items()], "param string, fallback double")
     return F.broadcast(names).join(found, "param", "left").select("param", F.coalesce("threshold", "fallback").alias("threshold"))
 

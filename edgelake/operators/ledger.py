@@ -12,9 +12,9 @@ from edgelake.operators.asof import asof
 
 
 def insert_absent(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """The table with the rows whose key it doesn't hold; of rows that share a key the first by ``order`` enters."""
+    """The table with the rows whose key it doesn't hold; of rows that share a key the first by ``order`` enters, or the smallest row."""
     new = rows.join(table.select(key), key, "left_anti")
-    first = W.partitionBy(key).orderBy(order or key)
+    first = W.partitionBy(key).orderBy(*([order] if order else []), F.to_json(F.struct(*rows.columns)))
     new = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return table.unionByName(new.select(*table.columns))
 
@@ -27,10 +27,10 @@ def update(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return rows.select(*(F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns))
 
 
-def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of both where the newer row of a key wins."""
+def upsert_latest(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Union of both where the newer row of a key wins; of new rows that share a key the last by ``order``, or the largest row."""
     both = old.withColumn("_source", F.lit(0)).unionByName(new.withColumn("_source", F.lit(1)))
-    last = W.partitionBy(*keys).orderBy(F.desc("_source"))
+    last = W.partitionBy(*keys).orderBy(F.desc("_source"), *([F.desc(order)] if order else []), F.desc(F.to_json(F.struct(*old.columns))))
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_source")
 
 
@@ -95,14 +95,18 @@ def log_rows(history: DataFrame, chosen: list[str]) -> DataFrame:
 
 
 def trade_close(outcomes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
-    """What closed trades write: the trade log, the learner's replay, signal updates and edges with new hit rates and decay flags."""
+    """What closed trades write: the trade log, the bandit's replay, the thresholds' observations, signal updates and edges with new hit rates and decay flags.
+
+    Rewards and gains are returns in percent, as they are.
+    """
     won = true(F.col("net_return_pct") > 0)
     log = outcomes.select("trade_id", "edge_id", "instrument_class", "direction", "holding_period", "net_return_pct", "regime_at_entry", "exit_date", won.cast("int").alias("won"))
-    replay = outcomes.where("bandit_action is not null").select(F.concat(F.lit("R_"), "trade_id").alias("transition_id"), F.col("bandit_action").alias("action"), (F.col("net_return_pct") / 100).alias("reward"), F.col("bandit_context").alias("context"))
+    replay = outcomes.where("bandit_action is not null").select(F.concat(F.lit("R_"), "trade_id").alias("transition_id"), F.col("bandit_action").alias("action"), F.col("net_return_pct").alias("reward"), F.coalesce("bandit_context", F.array_repeat(F.lit(0.0), 10)).alias("context"))
+    observed = outcomes.select(F.coalesce("trigger_feature", F.lit("z_21d_threshold")).alias("param"), F.coalesce("trigger_value", F.lit(0.0)).alias("threshold"), F.col("net_return_pct").alias("pnl"))
     signals = outcomes.select("signal_id", F.when(won, "WIN").otherwise("LOSS").alias("shadow_outcome"), F.col("net_return_pct").alias("shadow_return_pct"), "exit_date")
     rated = hit_rates(edges, outcomes).withColumn("_d", decay(F.col("win_rate"), F.col("live_wins"), F.col("live_losses")))
     rated = rated.withColumns({"decay_flag": F.greatest("decay_flag", F.col("_d.decay_flag").cast("int")), "status": F.when(F.col("_d.decay_flag"), "DECAYED").otherwise(F.col("status"))})
-    return {"log": log, "replay": replay, "signals": signals, "edges": rated.select(*edges.columns)}
+    return {"log": log, "replay": replay, "observations": observed, "signals": signals, "edges": rated.select(*edges.columns)}
 
 
 def save_state(rows: DataFrame, path: str, version: int) -> None:

@@ -69,6 +69,13 @@ def blocks(history: DataFrame) -> DataFrame:
     return runs.groupBy("_run", "regime_state").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days")).drop("_run")
 
 
+def named_by_mean(rows: DataFrame, state: str, value: str) -> DataFrame:
+    """(state, mean, label): states named by ascending mean; there are no more of them than names."""
+    means = rows.groupBy(F.col(state).alias("state")).agg(F.avg(value).alias("mean"))
+    names = F.array(*map(F.lit, REGIMES))
+    return means.withColumn("label", F.element_at(names, F.row_number().over(W.orderBy("mean"))))
+
+
 @dataclass
 class Hmm:
     start: np.ndarray
@@ -104,7 +111,7 @@ def forward_backward(density: np.ndarray, start: np.ndarray, moves: np.ndarray)
     return a, b, float(log_sum(a[-1], 0))
 
 
-def fit_hmm(x: np.ndarray, states: int = 5, most: int = 200, tolerance: float = 1e-4, seed: int = 42) -> Hmm:
+def fit_hmm(x: np.ndarray, states: int = 5, most: int = 2_000, tolerance: float = 1e-4, seed: int = 42) -> Hmm:
     """Baum-Welch in log space from a k-means start; states are ordered by ascending mean of the first column."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), states, replace=False)]

@@ -68,10 +68,18 @@ def backtest_triggers(rows: DataFrame) -> DataFrame:
         ("SEED-004", true(F.col("regime_state").isin(BULL)) & momentum(), F.lit("LONG"), F.col("mom_5d")),
     ]
     hits = F.array(*(F.when(hit, F.struct(F.lit(i).alias("seq"), F.lit(k).alias("edge_id"), d.alias("direction"), v.alias("trigger_value"))) for i, (k, hit, d, v) in enumerate(tests)))
-    keep = [c for c in ("instrument", "date", "day", "regime_state") if c in rows.columns]
+    keep = [c for c in ("instrument", "date", "day", "regime_state", "close", "iv") if c in rows.columns]
     return rows.select(*keep, F.inline(F.filter(hits, lambda h: h.isNotNull())))
 
 
+def active_edges(edges: DataFrame, regime: DataFrame, members: dict[str, list[str]]) -> DataFrame:
+    """Active edges that fit the regime (one row), once for each of their instruments (pos, instrument)."""
+    groups = F.create_map(*(x for k, v in members.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    fits = (F.col("edge_regime") == "ALL") | (F.col("regime_state") == F.col("edge_regime")) | F.contains("regime_state", "edge_regime")
+    active = edges.where("status = 'ACTIVE'").crossJoin(F.broadcast(regime)).where(fits)  # one row
+    return active.select("*", F.posexplode(F.coalesce(F.try_element_at(groups, F.col("underlying")), F.array("underlying"))).alias("pos", "instrument"))
+
+
 def live_scan(edges: DataFrame, regime: DataFrame, latest: DataFrame, members: dict[str, list[str]], thresholds: dict[str, float] | None = None) -> DataFrame:
     """Signals of active edges against the current regime (one row) and each instrument's latest features.
 
@@ -79,10 +87,7 @@ def live_scan(edges: DataFrame, regime: DataFrame, latest: DataFrame, members: d
     that fires, in the order of ``members``.
     """
     t = {"z": -2.0, "rsi": 10.0, "gap": -0.01, "z_currency": 1.8} | (thresholds or {})
-    groups = F.create_map(*(x for k, v in members.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    fits = (F.col("edge_regime") == "ALL") | (F.col("regime_state") == F.col("edge_regime")) | F.contains("regime_state", "edge_regime")
-    active = edges.where("status = 'ACTIVE'").crossJoin(F.broadcast(regime)).where(fits)  # one row
-    each = active.select("*", F.posexplode(F.coalesce(F.try_element_at(groups, F.col("underlying")), F.array("underlying"))).alias("pos", "instrument"))
+    each = active_edges(edges, regime, members)
     z = F.col("z_21d")
     rules = {
         "SEED-001": (true(F.abs(z) > abs(t["z"])), z, "z_21d"),

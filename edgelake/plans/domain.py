@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from edgelake import schema
 from edgelake.constants import EDGES
 from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, normal_cdf, normal_pdf, strike_step
 from edgelake.operators import backtest, gate, learn, ledger, regime, revalidate, triggers
@@ -12,6 +13,7 @@ from edgelake.plans import fixtures as fx
 from edgelake.plans.registry import r, register
 from edgelake.plans.relational import X, replay
 from edgelake.sources import bars as source
+from edgelake.streaming import live
 
 B, FE, T, S, H = fx.bars, (lambda s, d: features(fx.bars(s, d))), fx.trades, fx.signals, fx.history
 GRID = "select event_id, value/25-2 x, 80+value s, 100.0 k, (event_id%4)*5/252.0 t, case when event_id%7=0 then 0.0 else 0.1+(event_id%5)*0.1 end v, case when event_id%2=0 then 'call' else 'put' end kind from events"
@@ -29,6 +31,29 @@ def grid(s, d):
 register("f01_math", lambda s, d: grid(s, d).select("event_id", F.ln("s").alias("l"), F.exp("x").alias("e"), F.sqrt("s").alias("q"), F.abs("x").alias("a"), F.pow("s", F.lit(0.5)).alias("p")), fx.sql("select event_id, round(ln(s),6) l, round(exp(x),6) e, round(sqrt(s),6) q, round(abs(x),6) a, round(power(s,0.5),6) p from g", g=GRID))
 register("f02_normal", lambda s, d: grid(s, d).select("event_id", normal_cdf(F.col("x")).alias("cdf"), normal_pdf(F.col("x")).alias("pdf")), fx.sql(f"select event_id, round({fx.cdf('x')},6) cdf, round(exp(-x*x/2)/sqrt(2*pi()),6) pdf from g", g=GRID))
 register("f03_strikes", lambda s, d: B(s, d).select("instrument", "date", at_the_money(F.col("close"), strike_step(F.col("instrument"), fx.STEPS)).alias("strike")), fx.sql("select instrument, date, round_even(close/p,0)*p strike from (select *, case instrument when 'A' then 5.0::double when 'N' then 2.5::double else 50.0::double end p from bars)"))
+CODES = ["NIFTY", "BANKNIFTY", "FINNIFTY", "MIDCPNIFTY", "GOLD", "SILVER", "CRUDEOIL", "COPPER", "USDINR", "EURUSD", "OTHER"]
+register(
+    "f04_strike_steps",
+    lambda s, d: S(s, d).select("event_id", F.element_at(F.array(*map(F.lit, CODES)), (F.col("event_id") % 11 + 1).cast("int")).alias("code"), F.col("lot_value").alias("x"))
+    .select("event_id", "code", strike_step(F.col("code")).alias("step"), at_the_money(F.col("x"), strike_step(F.col("code"))).alias("strike")),
+    fx.sql(
+        "select event_id, code, st step, nullif(round_even(x/st,0)*st,0) strike from b",
+        a=f"select event_id, lot_value x, ({CODES!r})[cast(event_id%11 as int)+1] code from signals",
+        b="select *, case code when 'BANKNIFTY' then 100.0::double when 'MIDCPNIFTY' then 25 when 'GOLD' then 100 when 'SILVER' then 100 when 'COPPER' then 5 when 'USDINR' then 0.25 when 'EURUSD' then 0.001 else 50 end st from a",
+    ),
+)
+register(
+    "f06_finite",
+    lambda s, d: fx.table(s, d, "events").select("event_id", F.try_divide(F.col("value"), F.nullif(F.col("user_id") % 5, F.lit(0)).cast("double")).alias("x"), F.ln(F.col("value") - 50).alias("l"))
+    .select("event_id", F.coalesce(F.abs("x") < float("inf"), F.lit(False)).alias("finite"), F.coalesce(F.nanvl("l", F.lit(None).cast("double")), F.lit(0.0)).alias("filled"), (F.col("l").isNull() | F.isnan("l")).alias("missing")),
+    "select event_id, coalesce(isfinite(value/nullif(user_id%5,0)),false) finite, case when value>50 then round(ln(value-50),6) else 0 end filled, not coalesce(value>50,false) missing from events",
+)
+register(
+    "f17_keys",
+    lambda s, d: S(s, d).select("event_id", F.substring(F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "edge_id", "direction"), 256), 1, 32).alias("key")),
+    fx.sql("select event_id, substr(sha256(event_id||'|'||edge_id||'|'||direction),1,32) as key from signals"),
+)
+register("p15_literal_columns", lambda s, d: S(s, d).select("event_id", F.lit("OPEN").alias("status"), F.lit(0.0).alias("pnl"), F.lit(None).cast("date").alias("exit_date"), F.lit(True).alias("live")), fx.sql("select event_id, 'OPEN' status, 0.0::double pnl, cast(null as date) exit_date, true live from signals"))
 register("f05_truncate", lambda s, d: S(s, d).select("event_id", F.greatest(F.lit(1), F.floor(94500.0 / F.nullif(F.col("margin_per_lot"), F.lit(0.0)))).cast("long").alias("lots")), fx.sql("select event_id, cast(greatest(1,floor(94500.0::double/nullif(margin_per_lot,0))) as bigint) lots from signals"))
 register(
     "f07_calendar",
@@ -147,6 +172,23 @@ register(
     ),
 )
 
+register(
+    "j08_edges_by_instrument",
+    lambda s, d: triggers.active_edges(fx.edges(s), s.createDataFrame([("SIDEWAYS",)], "regime_state string"), {"ALL_INDICES": ["A", "N", "R"]}).select("edge_id", "underlying", "pos", "instrument"),
+    fx.sql("select edge_id, underlying, case when underlying='ALL_INDICES' then pos else 0 end pos, instrument from ei where status='ACTIVE' and (edge_regime='ALL' or contains('SIDEWAYS', edge_regime))", **LIVE),
+)
+register(
+    "d02_scan_by_regime",
+    lambda s, d: triggers.live_scan(fx.edges(s), s.createDataFrame([("SIDEWAYS",)], "regime_state string"), LATEST(s, d), {"ALL_INDICES": ["A", "N", "R"]}, {"z": -0.05, "rsi": 99.0, "gap": 1.0, "z_currency": 0.05}).select("edge_id", "instrument", "direction", "trigger_value"),
+    fx.sql(
+        "select edge_id, instrument, case when edge_id in ('SEED-001','SEED-005','SEED-006') then case when trigger_value<0 then 'LONG' else 'SHORT' end else edge_direction end direction, round(trigger_value,6) trigger_value from "
+        "(select *, case edge_id when 'SEED-001' then abs(v)>0.05 when 'SEED-002' then v<1 and gap_unfilled_eod=1 when 'SEED-003' then v<99 else false end ok, v trigger_value from "
+        "(select ei.*, lt.gap_unfilled_eod, case ei.edge_id when 'SEED-001' then z_21d when 'SEED-002' then gap_pct when 'SEED-003' then rsi_2 end v from ei join lt on ei.instrument=lt.instrument where status='ACTIVE' and (edge_regime='ALL' or contains('SIDEWAYS', edge_regime)))) "
+        "where ok qualify row_number() over (partition by edge_id order by pos)=1",
+        **LIVE,
+    ),
+)
+
 BT = {
     "dy": f"select date dy, regime_state from history where date between date '{fx.TEST[0]}' and date '{fx.TEST[1]}' and isodow(date)<6 and not transition_warning_flag",
     "fi": "select f.*, v.iv from feat f join ivs v on f.instrument=v.instrument and f.date=v.date",
@@ -178,6 +220,11 @@ register("d12_backtest", lambda s, d: backtest.run(FE(s, d), H(s, d), *fx.TEST,
 register("d12_capital", lambda s, d: backtest.run(FE(s, d), H(s, d), *fx.TEST, fx.STEPS).agg(F.count("*").alias("n"), F.ln(backtest.compounded(F.col("net_return_pct"))).alias("log_capital")), fx.sql("select count(*) n, round(ln(1350000.0)+coalesce(sum(ln(1+0.07*net_return_pct/100)),0),6) log_capital from tr", **IV, **BT, **WALK))
 
 register("d13_hidden_markov", lambda s, d: regime.classify(regime.market_inputs(fx.market(s, d)), fx.TRAIN_END))
+register(
+    "d14_states_by_mean",
+    lambda s, d: regime.named_by_mean(T(s, d).withColumn("state", F.col("holding_period") % 7), "state", "net_return_pct"),
+    fx.sql("select state, round(mean,6) mean, (['H_BEAR','L_BEAR','SIDEWAYS','L_BULL','H_BULL'])[cast(row_number() over (order by mean) as int)] label from (select holding_period%7 state, avg(net_return_pct) mean from trades group by 1)"),
+)
 register("d15_labels", lambda s, d: H(s, d).select("date", *(f"prob_{k}" for k in fx.STATES), "regime_confidence", "regime_state"), fx.sql("select date, " + r(" ".join(f"prob_{k}" for k in fx.STATES) + " regime_confidence") + ", regime_state from history"))
 
 RISK = {
@@ -214,6 +261,12 @@ register(
         x="select event_id, event_id%2=0 opt, case when event_id%5>0 then event_id%50/100.0::double end theta, event_id%17 held, case when event_id%3>0 then trigger_value end as move, event_id%31/100.0::double vix, case when event_id%4>0 then trigger_value end basis from signals",
     ),
 )
+register(
+    "d20_daily_reset",
+    lambda s, d: S(s, d).select("event_id", gate.after_reset(F.element_at(F.array(F.lit("SINGLE_DAY_LOSS_4PCT"), F.lit("DRAWDOWN_9.0%"), F.lit(None).cast("string")), (F.col("event_id") % 3 + 1).cast("int"))).alias("halt")),
+    fx.sql("select event_id, case event_id%3 when 1 then 'DRAWDOWN_9.0%' end halt from signals"),
+)
+register("d25_bandit_sizing", lambda s, d: gate.size(S(s, d).withColumn("bandit_action", F.when(F.col("event_id") % 4 > 0, F.element_at(F.array(*map(F.lit, learn.ACTIONS)), (F.col("event_id") % 4 + 1).cast("int")))), trades=200).select("event_id", "size_multiplier"), fx.sql("select event_id, case event_id%4 when 1 then 0.5::double when 2 then 1.0 when 3 then 1.5 else case when confidence>=0.70 then 1.0 when confidence>=0.50 then 0.75 else 0.50 end end size_multiplier from signals"))
 VALID = lambda s, d: gate.validate(S(s, d), fx.positions(s), fx.edges(s))
 register("d21_validator", lambda s, d: VALID(s, d).select("event_id", "decision", "reason"), fx.sql("select event_id, case when reason='OK' then 'APPROVED' else 'REJECTED' end decision, reason from va", **RISK))
 register("d22_strength", lambda s, d: S(s, d).select("event_id", gate.strong(F.col("edge_id"), F.col("direction"), F.col("trigger_value")).alias("strong")), fx.sql("select event_id, not (edge_id in ('SEED-001','SEED-003') and (direction='LONG' and trigger_value> -1.5 or direction='SHORT' and trigger_value<1.5)) strong from signals"))
@@ -248,10 +301,20 @@ RATES = {"hr": "select e.*, live_wins+coalesce(w,0) wins, live_losses+coalesce(n
 register("d29_hit_rates", lambda s, d: ledger.hit_rates(fx.edges(s), T(s, d)).select("edge_id", "live_wins", "live_losses", "live_hit_rate"), fx.sql("select edge_id, wins live_wins, losses live_losses, round(wins/(wins+losses),6) live_hit_rate from hr", **RATES))
 register(
     "d30_decay",
-    lambda s, d: ledger.hit_rates(fx.edges(s), T(s, d).where("holding_period = 2")).select("edge_id", ledger.decay(F.lit(0.9), F.col("live_wins"), F.col("live_losses")).alias("x")).select("edge_id", "x.*"),
+    lambda s, d: ledger.hit_rates(fx.edges(s), T(s, d)).select("edge_id", ledger.decay(F.col("win_rate"), F.col("live_wins"), F.col("live_losses")).alias("x")).select("edge_id", "x.*"),
+    fx.sql(
+        "select edge_id, po<win_rate-0.05 and n>=20 watch_flag, case when po<win_rate-0.05 and n>=20 then round(po,6) end posterior_win_rate, po<win_rate-0.08 and n>=30 decay_flag from (select edge_id, win_rate, (win_rate*20+wins)/(20+wins+losses) po, wins+losses n from hr)",
+        **RATES,
+    ),
+)
+register(
+    "d30_decay_by_period",
+    lambda s, d: T(s, d).groupBy("edge_id", "holding_period").agg(F.count_if(F.col("net_return_pct") > 40).alias("w"), F.count_if(F.col("net_return_pct") <= 40).alias("l")).join(fx.edges(s).select("edge_id", "win_rate"), "edge_id")
+    .select("edge_id", "holding_period", ledger.decay(F.col("win_rate"), F.col("w"), F.col("l")).alias("x")).select("edge_id", "holding_period", "x.*"),
     fx.sql(
-        "select edge_id, po<0.85 and n>=20 watch_flag, case when po<0.85 and n>=20 then round(po,6) end posterior_win_rate, po<0.82 and n>=30 decay_flag from (select edge_id, (18+wins)/(20+wins+losses) po, wins+losses n from hr)",
-        hr=RATES["hr"].replace("from trades group", "from trades where holding_period=2 group"),
+        "select edge_id, holding_period, po<win_rate-0.05 and n>=20 watch_flag, case when po<win_rate-0.05 and n>=20 then round(po,6) end posterior_win_rate, po<win_rate-0.08 and n>=30 decay_flag "
+        "from (select t.edge_id, t.holding_period, win_rate, (win_rate*20+w)/(20+n) po, n from t join edges e on t.edge_id=e.edge_id)",
+        t="select edge_id, holding_period, count(*) filter (net_return_pct>40) w, count(*) n from trades group by 1,2",
     ),
 )
 register("d32_bandit_cold", lambda s, d: S(s, d).select("event_id", gate.bandit_cold(F.col("edge_win_rate") + F.col("confidence") / 5).alias("action")), fx.sql("select event_id, case when edge_win_rate+confidence/5>0.65 then 'MEDIUM' when edge_win_rate+confidence/5>0.58 then 'SMALL' else 'SKIP' end as action from signals"))
@@ -274,6 +337,14 @@ def meta(s, d):
     return learn.meta_score(rows.where("event_id % 5 = 0"), model).select("event_id", "meta_pass", (F.col("net_return_pct") > 0).alias("truth"))
 
 
+register(
+    "d34_cells",
+    lambda s, d: learn.threshold_cells(observations(s, d)),
+    fx.sql(
+        "select param, round(round((least(hi,greatest(lo,x))-lo)/((hi-lo)/1000))*((hi-lo)/1000)+lo,6) threshold, round(avg(pnl),6) pnl, round(avg(pnl*pnl),6) squares, count(*) n from o group by param, lo, hi, round((least(hi,greatest(lo,x))-lo)/((hi-lo)/1000))",
+        o=f"select b.param, b.lo, b.hi, b.lo+(b.hi-b.lo)*(event_id%41)/40.0::double x, -power((event_id%41)/40.0::double-0.3,2)+0.01*trigger_value pnl from signals s join (values {', '.join(f'({i}, {k!r}, {v[0]}::double, {v[1]}::double)' for i, (k, v) in enumerate(learn.BOUNDS.items()))}) b(i, param, lo, hi) on s.event_id%4=b.i",
+    ),
+)
 register("d34_thresholds", lambda s, d: learn.thresholds(observations(s, d)))
 register("d35_meta_labels", meta)
 
@@ -289,10 +360,33 @@ register(
     "select event_type instrument, cast(ts as date) date, arg_min(value,ts) open, max(value) high, min(value) low, arg_max(value,ts) as close, count(*) volume from events group by 1,2",
 )
 
+register(
+    "t05_batch_pipeline",
+    lambda s, d: live.opened(live.simulated_fills(gate.size(APPROVED(s, d)))),
+    fx.sql("select 'SIM_'||event_id trade_id, instrument_class, underlying, direction, holding_period, margin_per_lot margin from a2", **RISK, **SELECT),
+)
+
+# sources and schemas
+register(
+    "p01_clean",
+    lambda s, d: source.clean(B(s, d).withColumns({"date": F.col("date").cast("timestamp") + F.expr("interval 9 hours"), "close": F.when(F.col("volume") % 7 == 0, float("nan")).otherwise(F.col("close")), "open": F.when(F.col("volume") % 5 == 0, float("nan")).otherwise(F.col("open"))}).withColumnsRenamed({"close": "Close", "open": "OPEN"})),
+    fx.sql("select instrument, date, case when volume%5<>0 then open end open, high, low, close, volume from bars where volume%7<>0"),
+)
+register(
+    "s07_first_source_with_rows",
+    lambda s, d: source.resolve_source(("missing", lambda: fx.table(s, d, "no_such_table")), ("empty", lambda: B(s, d).where("false")), ("stored", lambda: B(s, d))).select("instrument", "date", "close", "source"),
+    fx.sql("select instrument, date, close, 'stored' source from bars"),
+)
+register(
+    "u04_conformed",
+    lambda s, d: schema.conform(T(s, d), "trade_log"),
+    fx.sql("select trade_id, edge_id, instrument_class, cast(null as varchar) direction, holding_period, net_return_pct, cast(null as varchar) regime_at_entry, exit_date, cast(null as int) won from trades"),
+)
+
 # synthetic sources
 register("s08_synthetic_bars", lambda s, d: source.synthetic_bars(s, "2010-01-01", "2012-12-31"))
 register("s09_mean_reverting", lambda s, d: source.mean_reverting(s, "2010-01-01", "2012-12-31"))
-register("s10_regime_paths", lambda s, d: source.regime_paths(s, "2010-01-01", "2012-12-31", [("2010-01-01", "2010-12-31", 0.2, 0.12, 14.0), ("2011-06-01", "2011-12-31", -0.3, 0.3, 28.0)]))
+register("s10_regime_paths", lambda s, d: source.regime_paths(s, "2010-01-01", "2026-12-31"))
 
 
 def closes(s, d):
@@ -301,11 +395,11 @@ def closes(s, d):
 
 register(
     "d18_book_states",
-    lambda s, d: gate.book_states(closes(s, d), "edge_id", ["exit_date", "o_orderkey"]).select("o_orderkey", "daily_pnl", "peak", "drawdown", (F.col("halt").isNotNull()).alias("halted"), F.substring("halt", 1, 8).alias("why")),
+    lambda s, d: gate.book_states(closes(s, d), "edge_id", ["exit_date", "o_orderkey"]).select("o_orderkey", "daily_pnl", "peak", "drawdown", "halt"),
     fx.sql(
-        "select o_orderkey, round(daily_pnl,6) daily_pnl, round(peak,6) peak, round(drawdown,6) drawdown, h is not null halted, h why from b3",
+        "select o_orderkey, round(daily_pnl,6) daily_pnl, round(peak,6) peak, round(drawdown,6) drawdown, h halt from b3",
         b1="select *, net_return_pct*1000 pnl, sum(net_return_pct*1000) over (partition by edge_id order by exit_date, o_orderkey) daily_pnl, greatest(1350000, max(1350000+net_return_pct*1000) over (partition by edge_id order by exit_date, o_orderkey)) peak from trades",
-        b2="select *, (peak-1350000-pnl)/peak drawdown, case when (peak-1350000-pnl)/peak>0.08 then 'DRAWDOWN' when daily_pnl< -54000 then 'SINGLE_D' end why0 from b1",
+        b2="select *, (peak-1350000-pnl)/peak drawdown, case when (peak-1350000-pnl)/peak>0.08 then 'DRAWDOWN_'||format('{:.1f}%', (peak-1350000-pnl)/peak*100) when daily_pnl< -54000 then 'SINGLE_DAY_LOSS_4PCT' end why0 from b1",
         b3="select *, first_value(why0 ignore nulls) over (partition by edge_id order by exit_date, o_orderkey rows between unbounded preceding and current row) h from b2",
     ),
 )
@@ -316,6 +410,7 @@ def outcomes(s, d):
     return S(s, d).select(
         F.concat(F.lit("T"), i.cast("string")).alias("trade_id"), "edge_id", "instrument_class", "direction", "holding_period", F.col("trigger_value").alias("net_return_pct"), F.lit("SIDEWAYS").alias("regime_at_entry"),
         F.col("day").alias("exit_date"), F.concat(F.lit("S"), i.cast("string")).alias("signal_id"), F.when(i % 3 > 0, "SMALL").alias("bandit_action"), F.array(F.col("confidence")).alias("bandit_context"),
+        F.lit("rsi_2_threshold").alias("trigger_feature"), F.col("confidence").alias("trigger_value"),
     )
 
 
@@ -324,7 +419,8 @@ def closed(part):
 
 
 register("d31_close_log", closed("log"), fx.sql("select 'T'||event_id trade_id, edge_id, instrument_class, direction, holding_period, trigger_value net_return_pct, 'SIDEWAYS' regime_at_entry, day exit_date, cast(trigger_value>0 as int) won from signals"))
-register("d31_close_replay", lambda s, d: closed("replay")(s, d).drop("context"), fx.sql("select 'R_T'||event_id transition_id, 'SMALL' as action, round(trigger_value/100,6) reward from signals where event_id%3>0"))
+register("d31_close_replay", closed("replay"), fx.sql("select 'R_T'||event_id transition_id, 'SMALL' as action, trigger_value reward, [confidence] context from signals where event_id%3>0"))
+register("d31_close_observations", closed("observations"), fx.sql("select 'rsi_2_threshold' param, confidence threshold, trigger_value pnl from signals"))
 register("d31_close_signals", closed("signals"), fx.sql("select 'S'||event_id signal_id, case when trigger_value>0 then 'WIN' else 'LOSS' end shadow_outcome, trigger_value shadow_return_pct, day exit_date from signals"))
 register(
     "d31_close_edges",

@@ -37,26 +37,91 @@ def daily_bars(ticks: DataFrame, lateness: str = "1 day") -> DataFrame:
     return out.select(F.col("key").alias("instrument"), F.to_date("window.start").alias("date"), "open", "high", "low", "close", "volume")
 
 
-def upsert_batches(bars: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, once: bool = True):
-    """Merge every micro-batch into the stored bars, newest first by instrument and date."""
+Step = Callable[[DataFrame, int], None]
 
-    def merge(batch: DataFrame, _: int) -> None:
-        write(ledger.upsert_latest(read(), batch, ["instrument", "date"]))
 
-    query = bars.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def isolated(step: Step, failed: Callable[[DataFrame], None]) -> Step:
+    """A step whose failure is handed to ``failed`` as a row (batch, error, message) and leaves the stream running."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            step(batch, number)
+        except Exception as error:  # noqa: BLE001  whatever fails in a batch must not end the loop
+            failed(batch.sparkSession.createDataFrame([(number, type(error).__name__, str(error)[:1000])], "batch bigint, error string, message string"))
+
+    return run
+
+
+def once_a_day(tasks: list[tuple[str, str, Step]], done: Callable[[], DataFrame], mark: Callable[[DataFrame], None], zone: str = "Asia/Kolkata") -> Step:
+    """A step that runs each task (name, HH:MM, step) in the first batch whose newest ``ts`` is at or past its local time, once a day.
+
+    ``done`` gives the rows (task, day) that ``mark`` has written, so a restarted stream doesn't repeat a task.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max(F.from_utc_timestamp("ts", zone))).first()[0]
+        if now is None:
+            return
+        ran = {r["task"] for r in done().where(F.col("day") == F.lit(now.date())).collect()}  # as many as tasks
+        for name, at, step in tasks:
+            if name not in ran and (now.hour, now.minute) >= (int(at[:2]), int(at[3:])):
+                step(batch, number)
+                mark(batch.sparkSession.createDataFrame([(name, now.date())], "task string, day date"))
+
+    return run
+
+
+def start(stream: DataFrame, step: Step, checkpoint: str, once: bool = True):
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if once else query.trigger(processingTime=EVERY)).start()
 
 
-def run_pipeline(signals: DataFrame, positions: Callable[[], DataFrame], edges: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
-    """Validate, select and size each micro-batch of signals against the book as it stands, and hand it to ``write``."""
+def upsert_batches(bars: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str, once: bool = True, days: int = 60):
+    """Merge every micro-batch into the stored bars, newest first by instrument and date.
+
+    Only the batch's instruments are read and written (write_bars() leaves other partitions alone), and rows over ``days`` older
+    than an instrument's last stored day are dropped: history isn't revised.
+    """
+
+    def merge(batch: DataFrame, _: int) -> None:
+        names = [r[0] for r in batch.select("instrument").distinct().collect()]  # partitions touched
+        old = read().where(F.col("instrument").isin(names))
+        last = old.groupBy("instrument").agg(F.max("date").alias("_last"))
+        fresh = batch.join(last, "instrument", "left").where(F.col("_last").isNull() | (F.col("date") >= F.date_sub("_last", days))).drop("_last")
+        write(ledger.upsert_latest(old, fresh, ["instrument", "date"]))
+
+    return start(bars, merge, checkpoint, once)
+
+
+def simulated_fills(sized: DataFrame) -> DataFrame:
+    """Orders filled at the quoted price, 0 where there is none."""
+    return sized.withColumns({"order_id": F.concat(F.lit("SIM_"), F.col("event_id").cast("string")), "fill_price": F.coalesce("lot_value", F.lit(0.0))})
+
+
+def run_pipeline(signals: DataFrame, positions: Callable[[], DataFrame], edges: DataFrame, write: Step, checkpoint: str, once: bool = True, failed: Callable[[DataFrame], None] | None = None):
+    """Validate, select, size and fill each micro-batch of signals against the book as it stands, and hand the trades to ``write``."""
 
     def step(batch: DataFrame, number: int) -> None:
         book = positions()
         approved = gate.validate(batch, book, edges).where("decision = 'APPROVED'")
-        write(gate.size(gate.select_trades(approved, book, "event_id")), number)
+        write(simulated_fills(gate.size(gate.select_trades(approved, book, "event_id"))), number)
 
-    query = signals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (query.trigger(availableNow=True) if once else query.trigger(processingTime=EVERY)).start()
+    return start(signals, isolated(step, failed) if failed else step, checkpoint, once)
+
+
+def opened(trades: DataFrame) -> DataFrame:
+    """The rows that trades add to the book."""
+    return trades.select(F.col("order_id").alias("trade_id"), "instrument_class", "underlying", "direction", "holding_period", F.col("margin_per_lot").alias("margin"))
+
+
+def close_trades(outcomes: DataFrame, edges: Callable[[], DataFrame], write: dict[str, Callable[[DataFrame], None]], checkpoint: str, once: bool = True):
+    """Fan each micro-batch of closed trades out to the log, both learners' observations, the signals and the edges, as ledger.trade_close() gives them."""
+
+    def step(batch: DataFrame, _: int) -> None:
+        for name, rows in ledger.trade_close(batch, edges()).items():
+            write[name](rows)
+
+    return start(outcomes, step, checkpoint, once)
 
 
 def books(closes: DataFrame, capital: float) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgelake.functions.pricing import at_the_money, black_scholes, normal_cdf
+from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, normal_cdf
 from edgelake.functions.stats import profit_factor, sharpe, student_p
 from edgelake.operators import asof, backtest, gate, learn, ledger, regime
 from edgelake.operators.features import features, with_features
@@ -91,7 +91,8 @@ def test_normal_distribution_and_strikes(spark):
 
 
 def test_student_p_values():
-    assert student_p(2.0, 11) == pytest.approx(0.0733880, abs=1e-6) and student_p(0.0, 5) == pytest.approx(1.0) and student_p(1.0, 1) is None
+    assert student_p(2.0, 11) == pytest.approx(0.0733880, abs=1e-6) and student_p(0.0, 5) == pytest.approx(1.0) and np.isnan(student_p(1.0, 1))
+    assert student_p([2.0, float("nan"), 0.0], [11, 5, 5]).tolist() == pytest.approx([0.0733880, float("nan"), 1.0], abs=1e-6, nan_ok=True)
     assert student_p(12.706, 2) == pytest.approx(0.05, abs=1e-4)
 
 
@@ -276,3 +277,98 @@ def test_books_are_kept_over_batches(spark, tmp_path):
     assert seen == {"p": (-60_000.0, "SINGLE_DAY_LOSS_4PCT"), "q": (5_000.0, None)}
     book = gate.book_states(spark.createDataFrame(rows, "portfolio string, seq int, pnl double"), "portfolio", ["seq"], 1_000_000.0).collect()
     assert {(r["portfolio"], r["seq"]): r["halt"] for r in book} == {("p", 1): None, ("p", 2): "SINGLE_DAY_LOSS_4PCT", ("q", 1): None}
+
+
+def test_failing_batches_leave_the_stream_running(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(i,)], "x int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen, failures = [], []
+
+    def step(batch, number):
+        value = batch.first()[0]
+        if value == 1:
+            raise ValueError("bad batch")
+        seen.append(value)
+
+    query = live.start(live.read_stream(spark, str(tmp_path / "in"), "x int"), live.isolated(step, lambda rows: failures.extend(rows.collect())), str(tmp_path / "check"))
+    query.awaitTermination(120)
+    assert query.exception() is None and sorted(seen) == [0, 2]
+    assert [(r["error"], r["message"]) for r in failures] == [("ValueError", "bad batch")]
+
+
+def test_daily_tasks_run_once_a_day(spark):
+    at = lambda text: spark.sql(f"select timestamp '{text}' ts")
+    marks, ran = [], []
+    done = lambda: spark.createDataFrame(marks, "task string, day date")
+    run = live.once_a_day([("open", "09:15", lambda b, n: ran.append("open")), ("close", "15:30", lambda b, n: ran.append("close"))], done, lambda rows: marks.extend(map(tuple, rows.collect())), zone="UTC")
+    for i, text in enumerate(["2024-01-02 08:00:00", "2024-01-02 09:20:00", "2024-01-02 12:00:00", "2024-01-02 16:00:00", "2024-01-02 17:00:00", "2024-01-03 15:31:00"]):
+        run(at(text), i)
+    run(at("2024-01-03 16:00:00").where("false"), 9)
+    assert ran == ["open", "close", "open", "close"] and len(marks) == 4
+
+
+def test_upserts_keep_to_their_instruments_and_days(spark, tmp_path):
+    row = lambda name, day, close: (name, DAY + dt.timedelta(days=day), close, close, close, close, 1)
+    schema = "instrument string, date date, open double, high double, low double, close double, volume long"
+    stored = {"rows": spark.createDataFrame([row("A", 100, 1.0), row("A", 99, 1.0), row("B", 100, 1.0)], schema), "written": []}
+    spark.createDataFrame([row("A", 100, 2.0), row("A", 100, 3.0), row("A", 101, 2.0), row("A", 30, 2.0), row("C", 1, 5.0)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    live.upsert_batches(live.read_stream(spark, str(tmp_path / "in"), schema), lambda: stored["rows"], lambda rows: stored["written"].extend(rows.collect()), str(tmp_path / "check")).awaitTermination(120)
+    got = {(r["instrument"], (r["date"] - DAY).days): r["close"] for r in stored["written"]}
+    assert got == {("A", 99): 1.0, ("A", 100): 3.0, ("A", 101): 2.0, ("C", 1): 5.0}
+
+
+def test_first_signal_of_a_day_in_a_stream(spark, tmp_path):
+    rows = [("E1", "U", "LONG", "2024-01-02 04:00:00"), ("E1", "U", "LONG", "2024-01-02 05:00:00"), ("E1", "U", "SHORT", "2024-01-02 05:00:00"), ("E1", "U", "LONG", "2024-01-02 20:00:00")]
+    frame = spark.createDataFrame(rows, "edge_id string, underlying string, direction string, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = live.first_of_day(live.read_stream(spark, str(tmp_path / "in"), "edge_id string, underlying string, direction string, ts timestamp"))
+    stream.writeStream.format("memory").queryName("firsts").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    # 20:00 in UTC is the next local day
+    assert sorted((r["direction"], r["local_date"].day) for r in spark.table("firsts").collect()) == [("LONG", 2), ("LONG", 3), ("SHORT", 2)]
+
+
+def test_closed_trades_fan_out(spark, tmp_path):
+    schema = "trade_id string, edge_id string, instrument_class string, direction string, holding_period int, net_return_pct double, regime_at_entry string, exit_date date, signal_id string, bandit_action string, bandit_context array<double>, trigger_feature string, trigger_value double"
+    rows = [("t1", "SEED-001", "INDEX_OPTIONS", "LONG", 5, 12.5, "SIDEWAYS", DAY, "s1", "SMALL", None, None, None), ("t2", "SEED-001", "INDEX_OPTIONS", "LONG", 5, -3.0, "SIDEWAYS", DAY, "s2", None, [1.0], "rsi_2_threshold", 8.0)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    got: dict = {}
+    write = {k: (lambda frame, k=k: got.setdefault(k, []).extend(frame.collect())) for k in ("log", "replay", "observations", "signals", "edges")}
+    live.close_trades(live.read_stream(spark, str(tmp_path / "in"), schema), lambda: fx.edges(spark), write, str(tmp_path / "check")).awaitTermination(180)
+    assert sorted((r["trade_id"], r["won"]) for r in got["log"]) == [("t1", 1), ("t2", 0)]
+    assert [(r["reward"], r["context"]) for r in got["replay"]] == [(12.5, [0.0] * 10)]
+    assert sorted((r["param"], r["threshold"], r["pnl"]) for r in got["observations"]) == [("rsi_2_threshold", 8.0, -3.0), ("z_21d_threshold", 0.0, 12.5)]
+    assert next((r["live_wins"], r["live_losses"]) for r in got["edges"] if r["edge_id"] == "SEED-001") == (1, 1)
+
+
+def test_regime_paths_follow_their_phases(spark):
+    rows = source.regime_paths(spark, "2010-01-01", "2026-12-31").toPandas().set_index("date").sort_index()
+    rng, level, vix = np.random.default_rng(42), 5200.0, 16.0
+    for day, close, got in zip(rows.index, rows["close"], rows["vix"], strict=True):
+        mu, sigma, mean, vary = next((p[2:] for p in source.PHASES if p[0] <= str(day) <= p[1]), source.OUTSIDE)
+        level *= math.exp(rng.normal(mu, sigma))
+        vix = max(8.0, vix + 0.05 * (mean - vix) + rng.normal(0, mean * 0.08 * vary))
+        assert close == pytest.approx(level) and got == pytest.approx(vix)
+
+
+def test_synthetic_series_have_the_stated_drift_and_deviation(spark):
+    rows = source.synthetic_bars(spark, "2010-01-01", "2021-12-31").toPandas().sort_values(["instrument", "date"])
+    assert set(rows["instrument"]) == set(source.SERIES)
+    for name, part in rows.groupby("instrument"):
+        ret = np.log(part["close"]).diff().dropna()
+        assert ret.std() * math.sqrt(252) == pytest.approx(source.SERIES[name][2], rel=0.08)
+        assert (part["volume"].between(1e5, 1e7)).all()
+
+
+def test_a_low_price_has_no_strike(spark):
+    row = spark.sql("select 1.1 s, 0.2 v").select(atm_premium(F.col("s").cast("double"), F.col("v").cast("double"), F.lit(50.0), F.lit("call"), F.lit(5)).alias("p"), at_the_money(F.lit(1.1), F.lit(0.001)).alias("k")).first()
+    assert row["p"] is None and row["k"] == pytest.approx(1.1)
+
+
+def test_threshold_cells_are_weighted(spark):
+    low, high, _ = learn.BOUNDS["rsi_2_threshold"]
+    rows = [("rsi_2_threshold", low + (high - low) * (i % 3000) / 3000, float(-abs(i % 3000 - 2900))) for i in range(6000)] + [("rsi_2_threshold", 99.0, -1e4)]
+    frame = spark.createDataFrame(rows, "param string, threshold double, pnl double")
+    cells = learn.threshold_cells(frame)
+    assert cells.count() <= 1001 and cells.agg(F.sum("n")).first()[0] == 6001
+    got = {r["param"]: r["threshold"] for r in learn.thresholds(frame).collect()}
+    assert got["rsi_2_threshold"] == pytest.approx(low + (high - low) * 2900 / 3000, abs=0.4)
