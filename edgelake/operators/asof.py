@@ -21,7 +21,10 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list
 
 
 def in_range(rows: DataFrame, ranges: DataFrame, on: str, values: dict) -> DataFrame:
-    """Values of the last range (start, end, seq) that holds ``on``; defaults from ``values``. ranges must be a small literal table."""
-    joined = rows.join(F.broadcast(ranges.withColumnsRenamed({v: f"_{v}" for v in values})), F.col(on).between(F.col("start"), F.col("end")), "left")
-    last = joined.groupBy(*rows.columns).agg(F.max_by(F.struct(*(F.col(f"_{v}").alias(v) for v in values)), "seq").alias("_v"))
-    return last.select(*rows.columns, *(F.coalesce(F.col("_v")[v], F.lit(d)).alias(v) for v, d in values.items()))
+    """Values of the last range of days (start, end, seq) that holds the date ``on``; defaults from ``values``.
+
+    Ranges are laid out by day, so the join is one of equal days.
+    """
+    days = ranges.where("start <= end").select(F.explode(F.sequence("start", "end")).alias(on), "seq", F.struct(*values).alias("_v"))
+    last = days.groupBy(on).agg(F.max_by("_v", "seq").alias("_v"))
+    return rows.join(last, on, "left").select(*rows.columns, *(F.coalesce(F.col("_v")[v], F.lit(d)).alias(v) for v, d in values.items()))

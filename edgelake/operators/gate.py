@@ -28,13 +28,13 @@ def liquidity_reason(klass: Column, oi: Column, spread: Column, volume: Column)
 
 
 def risk(signals: DataFrame, positions: DataFrame, capital: float = CAPITAL, lots: int = 1, halted: str | None = None) -> DataFrame:
-    """Add reason: the first failing check of ten, or OK. The book is small and joined by broadcast."""
+    """Add reason: the first failing check of ten, or OK. Sums of the book are joined; whether by broadcast is left to Spark."""
     book = positions.agg(F.count("*").alias("_open"), F.coalesce(F.sum("margin"), F.lit(0.0)).alias("_margin"))
     classes = positions.groupBy("instrument_class").agg(F.count("*").alias("_class"))
     names = positions.groupBy("underlying").agg(F.count("*").alias("_name"))
     held = positions.select("underlying", "direction", "holding_period").distinct().withColumn("_held", F.lit(True))
-    rows = signals.crossJoin(F.broadcast(book)).join(F.broadcast(classes), "instrument_class", "left").join(F.broadcast(names), "underlying", "left")
-    rows = rows.join(F.broadcast(held), ["underlying", "direction", "holding_period"], "left")
+    rows = signals.crossJoin(F.broadcast(book)).join(classes, "instrument_class", "left").join(names, "underlying", "left")  # the book's totals are one row
+    rows = rows.join(held, ["underlying", "direction", "holding_period"], "left")
     illiquid = liquidity_reason(F.col("instrument_class"), F.col("oi_lots"), F.col("bid_ask_spread_pct"), F.col("daily_volume_lots"))
     reason = (
         F.when(F.lit(halted is not None), f"SYSTEM_HALTED: {halted}")
@@ -60,7 +60,7 @@ def strong(edge: Column, direction: Column, value: Column) -> Column:
 
 def validate(signals: DataFrame, positions: DataFrame, edges: DataFrame, capital: float = CAPITAL, meta_trades: int = 0) -> DataFrame:
     """Add decision and reason: risk, transition, decay, strength, then the meta score once it's active. An unknown edge isn't decayed."""
-    rows = risk(signals, positions, capital).join(F.broadcast(edges.select("edge_id", F.col("decay_flag").alias("_decay"))), "edge_id", "left")
+    rows = risk(signals, positions, capital).join(edges.select("edge_id", F.col("decay_flag").alias("_decay")), "edge_id", "left")
     score = F.col("meta_score") if "meta_score" in signals.columns else F.lit(0.6)
     reason = (
         F.when(F.col("reason") != "OK", F.col("reason"))

@@ -71,7 +71,7 @@ def rejection_analysis(ledger: DataFrame) -> DataFrame:
 def hit_rates(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Edges with wins and losses raised by the outcomes, and the live hit rate."""
     sums = outcomes.groupBy("edge_id").agg(F.count_if(true(F.col("net_return_pct") > 0)).alias("_w"), F.count("*").alias("_n"))
-    rows = edges.join(F.broadcast(sums), "edge_id", "left")
+    rows = edges.join(sums, "edge_id", "left")
     rows = rows.withColumns({"live_wins": F.col("live_wins") + F.coalesce("_w", F.lit(0)), "live_losses": F.col("live_losses") + F.coalesce(F.col("_n") - F.col("_w"), F.lit(0))})
     total = F.col("live_wins") + F.col("live_losses")
     rate = F.when(F.col("_n").isNotNull() & (total > 0), F.try_divide(F.col("live_wins"), total)).otherwise(F.col("live_hit_rate"))

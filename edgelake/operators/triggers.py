@@ -100,7 +100,7 @@ def live_scan(edges: DataFrame, regime: DataFrame, latest: DataFrame, members: d
     for edge, (test, v, n) in rules.items():
         own = F.col("edge_id") == edge
         hit, value, name = F.when(own, test).otherwise(hit), F.when(own, v).otherwise(value), F.when(own, F.lit(n)).otherwise(name)
-    rows = each.join(F.broadcast(latest), "instrument").withColumns({"trigger_value": value, "trigger_feature": name}).where(hit)
+    rows = each.join(latest, "instrument").withColumns({"trigger_value": value, "trigger_feature": name}).where(hit)
     rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("edge_id").orderBy("pos"))).where("_rank = 1")
     both = F.col("edge_id").isin("SEED-001", "SEED-005", "SEED-006")
     side = F.when(both, F.when(F.col("trigger_value") < 0, "LONG").otherwise("SHORT")).otherwise(F.col("edge_direction"))
