@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a chunk of its own, and its hashes are made block by block.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _POW: list[np.ndarray] = []
 #: Caches that tasks of an operator leave in a worker process, and how to empty them.
@@ -18,11 +20,17 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def make_room() -> None:
-    """Called by tasks that need memory and none of the caches: free what other operators' tasks left in this worker."""
+def make_room(*keep) -> None:
+    """Called at the start of tasks: empty the caches that other operators' tasks left in this worker, but for
+    ``keep``, and give unused memory back to the system."""
     for cache in CACHES:
-        cache.cache_clear()
+        if cache not in keep:
+            cache.cache_clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,12 +6,13 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: A side of a join is broadcast only if it was counted and holds at most so many (narrow) rows.
-BROADCAST_ROWS = 200_000
-BATCH_BYTES = 4 << 20
+#: A side of a join is broadcast only if it was measured and holds at most so many rows and bytes.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+BATCH_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +20,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
+    """The folder that all executors share; a local one only where a session in one process names none, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="edgelake-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(__import__("shutil").rmtree, root[7:], ignore_errors=True)
@@ -57,19 +61,51 @@ def drop_table(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a written table for broadcast if its counted size is within BROADCAST_ROWS; else leave the join to shuffle."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+class Tables:
+    """Tables that an operator writes while it works; all go when its result is written."""
 
+    def __init__(self):
+        self.held: list[DataFrame] = []
 
-def connected_components(edges: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out = write_table(df, name)
+        self.held.append(out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        drop_table(*tables)
+        self.held = [t for t in self.held if all(t is not x for x in tables)]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as a table, which stays; all others are deleted."""
+        out = write_table(df, name)
+        self.drop(*self.held)
+        return out
+
+
+def width(kind: DataType, value: Column) -> Column:
+    """About how many bytes a value takes in a row."""
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        each = 8 * (1 + len(kind.elementType.fields)) if isinstance(kind.elementType, StructType) else 8
+        return F.greatest(F.size(value), F.lit(0)) * each + 8
+    return F.lit(8)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark a written table for broadcast if its measured rows and bytes are within bounds; else leave the join to shuffle."""
+    n, size = df.agg(F.count("*"), sum((F.sum(width(f.dataType, F.col(f.name))) for f in df.schema.fields), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
+def connected_components(edges: DataFrame, tables: Tables) -> DataFrame:
     """Return (node, component) for every node of ``edges`` (a, b: bigint); component is the smallest reachable node.
 
     Alternates large-star and small-star steps; each writes its edges to the shared folder. Minima are
     pre-aggregated before the shuffle, and a hub's edges are dealt again by Spark's skew join.
     """
-    star = write_table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    star = tables.write(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     signature = None
     while True:
         # large star: each neighbour larger than the node goes to the smallest of the neighbourhood
@@ -80,9 +116,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small_ = large.join(low, "u")
         step = small_.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        step = write_table(step, "cc")
+        step = tables.write(step, "cc")
         now = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(star)
+        tables.drop(star)
         star = step
         if now == signature:
             break
