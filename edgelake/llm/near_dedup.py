@@ -3,11 +3,13 @@
 A document's set holds its distinct 5-word shingles. Every shingle emits points of a Poisson process over REGISTERS
 registers, and a register keeps the smallest value, truncated, as a power of BASE: sketches of parts merge by maxima,
 and equal registers tell of similar sets. Bands of registers give candidates: within a band's bucket every set is paired
-with the bucket's smallest one, never with all others. The joint likelihood of a pair's registers, given both set
-sizes, drops pairs whose similarity is most likely far below the limit; the rest are compared as full sets. Buckets
-that then still hold more than one component are compared across components in blocks, so no link is lost to
-the choice of the smallest; blocks bound what a task holds. Two sets with a similarity of 0.85 share no bucket with
-probability below 1e-7 (0.8: 1e-5), and the likelihood drops such a pair with probability below 1e-5 (0.8: 1e-4).
+with one hub, never with all others. The joint likelihood of a pair's registers, given both set sizes, drops pairs
+whose similarity is most likely far below the limit; the rest are compared as full sets. Buckets that then still hold
+more than one component get another hub, drawn at random from their largest one, for all sets outside it, ROUNDS times: work in
+proportion to their sets. What is left outside the largest component of a bucket is compared with it and with each other in blocks,
+so that no link is lost to the choice of hubs; members of the largest component are never compared with each other. Two
+sets with a similarity of 0.85 share no bucket with probability below 1e-7 (0.8: 1e-5), and the likelihood drops such
+a pair with probability below 1e-5 (0.8: 1e-4).
 
 Sets are classes of equal shingles, named by a 64-bit hash; copies are one class and are never paired. Only narrow
 class rows, candidate pairs and the sets of candidates move.
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelake.llm.arrays import chunks, gather, hash_spans, lower, make_room, mix, word_spans
-from edgelake.llm.shared import bound_batches, connected_components, drop_table, small, write_table
+from edgelake.llm.shared import Tables, bound_batches, connected_components, small
 
 WORDS = 5
 REGISTERS, BAND = 96, 4
@@ -38,8 +40,8 @@ BASE = 1.001
 TOP = 10.0
 #: Pairs are dropped if their likelihood falls from so far below the limit on.
 MARGIN = 0.17
-#: Members of a bucket that are compared with as many others at once.
-BLOCK = 512
+#: Further hubs of buckets with several components, and members of a bucket that are compared with as many others at once.
+ROUNDS, BLOCK = 2, 256
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -162,15 +164,15 @@ def likely_pairs(pairs: DataFrame, classes: DataFrame, floor: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").mapInArrow(work, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, tables: Tables) -> DataFrame:
     """Written pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = write_table(classes.join(nodes, "node", "left_semi").select("node", "id", "key"), "wanted")
-    sets = write_table(full_sets(docs, wanted, id_col, text_col), "sets")
+    wanted = tables.write(classes.join(nodes, "node", "left_semi").select("node", "id", "key"), "wanted")
+    sets = tables.write(full_sets(docs, wanted, id_col, text_col), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared, total = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    out = write_table(both.select("a", "b", shared.alias("shared"), total.alias("total")).where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b"), "links")
-    drop_table(wanted, sets)
+    out = tables.write(both.select("a", "b", shared.alias("shared"), total.alias("total")).where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b").distinct(), "links")
+    tables.drop(wanted, sets)
     return out
 
 
@@ -180,12 +182,28 @@ def bands_of(classes: DataFrame) -> DataFrame:
     return classes.select("node", F.posexplode(keys).alias("band", "key"))
 
 
+def mixed_buckets(open_: DataFrame, labels: DataFrame, salt: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Members (key, band, node, label) of buckets with several components; and of each such bucket its largest component
+    (main), the sets in it (inside) and outside, and a random set of it (hub)."""
+    members = open_.join(labels, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("label"))
+    by_label = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key", F.lit(salt)).alias("h"), "node")).alias("hub"))
+    buckets = by_label.groupBy("key").agg(F.max(F.struct("n", "label", "hub")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    main = buckets.select("key", F.col("m.label").alias("main"), F.col("m.n").alias("inside"), (F.col("size") - F.col("m.n")).alias("outside"), F.col("m.hub.node").alias("hub"))
+    main = tables.write(main, "mixed")
+    return members.join(main.select("key"), "key", "left_semi"), main
+
+
 def in_blocks(members: DataFrame) -> DataFrame:
-    """Members of buckets (key, size, node, …), dealt so that each pair of blocks of a bucket is one group (key, i, j)."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    rows = rows.withColumn("_pair", F.explode(other)).select("*", "_pair.i", "_pair.j").drop("_pair")
+    """Members of buckets (key, main, inside, outside, label, node, …), dealt so that each pair of blocks is one group (key, i, j).
+
+    Blocks of sets outside the largest component come first and meet all blocks; those of the largest one don't meet each other.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    out, total = blocks("outside"), blocks("outside") + blocks("inside")
+    own = F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node", F.lit("block")), out)).otherwise(out + F.pmod(F.xxhash64("node", F.lit("block")), blocks("inside"))).cast("int")
+    rows = members.withColumn("block", own)
+    other = F.sequence(F.lit(0), F.when(F.col("block") < out, total).otherwise(out) - 1)
+    rows = rows.withColumn("_k", F.explode(other)).withColumns({"i": F.least("_k", "block"), "j": F.greatest("_k", "block")}).drop("_k", "main", "inside", "outside")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -195,7 +213,7 @@ def block_pairs(part: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]
     r = matrix(part.column("registers"))
     bands = r.view("<u8")
     i, j, band = (part.column(k)[0].as_py() for k in ("i", "j", "band"))
-    rows, columns = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    rows, columns = np.flatnonzero(side == i), np.flatnonzero(side == j)  # block j may be empty
     for a in rows:
         b = columns[(label[columns] != label[a]) & ((i != j) | (columns > a))]
         if len(b):
@@ -284,45 +302,48 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, n_shingles, component_id (the smallest id reachable over links), kept and text_hash."""
     bound_batches(docs.sparkSession)
-    rows = write_table(sketch(docs, id_col, text_col), "sketches")
+    tables, floor = Tables(), percent / 100 - MARGIN
+    rows = tables.write(sketch(docs, id_col, text_col), "sketches")
     some = rows.where("n > 0")
     own = F.min(F.struct("id", "key"))
-    classes = write_table(
+    classes = tables.write(
         some.groupBy("node").agg(F.first("n").alias("n"), F.first("registers").alias("registers"), own.alias("o"), F.min("id").alias("least")).select("node", "n", "registers", "o.id", "o.key", "least"),
         "classes",
     )
     bands = bands_of(classes)
-    buckets = write_table(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    buckets = tables.write(bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
     stars = bands.join(buckets, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    pairs = write_table(likely_pairs(stars, classes, percent / 100 - MARGIN), "pairs")
-    links = confirmed(pairs, classes, docs, id_col, text_col, percent)
-    labels = write_table(connected_components(links), "labels")
-
-    # buckets of three or more that hold several components: compare across them
-    floor = percent / 100 - MARGIN
-    open_ = bands.join(buckets.where("size > 2"), "key").join(labels, "node", "left").select("key", "size", "band", "node", F.coalesce("component", "node").alias("label"))
-    open_ = write_table(open_, "open")
-    mixed = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    mixed = write_table(mixed, "mixed")
-    members = write_table(open_.join(mixed, "key").join(classes.select("node", "n", "registers"), "node"), "members")
-    some = write_table(cross_members(members, floor), "some")
-    drop_table(open_, mixed, labels, pairs, buckets)
-    if not some.isEmpty():
-        wanted = write_table(classes.join(some.select("node").distinct(), "node", "left_semi").select("node", "id", "key"), "wanted")
-        sets = write_table(full_sets(docs, wanted, id_col, text_col), "sets")
-        members = members.join(some, ["key", "node"]).join(sets.dropDuplicates(["node"]), "node")
-        links = write_table(links.union(cross_links(members, floor, percent)), "links")
-        drop_table(wanted, sets)
-    drop_table(some)
-    labels = write_table(connected_components(links), "labels")
+    pairs = tables.write(likely_pairs(stars, classes, floor), "pairs")
+    links = confirmed(pairs, classes, docs, id_col, text_col, percent, tables)
+    labels = tables.write(connected_components(links, tables), "labels")
+
+    # buckets of three or more that hold several components
+    open_ = tables.write(bands.join(buckets.where("size > 2"), "key").select("key", "band", "node"), "open")
+    tables.drop(pairs, buckets)
+    for round_ in range(ROUNDS):
+        members, main = mixed_buckets(open_, labels, round_, tables)
+        stars = members.join(main, "key").where("label <> main").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        pairs = tables.write(likely_pairs(stars, classes, floor), "pairs")
+        if pairs.isEmpty():
+            break
+        links = tables.write(links.union(confirmed(pairs, classes, docs, id_col, text_col, percent, tables)), "links")
+        labels = tables.write(connected_components(links, tables), "labels")
+    members, main = mixed_buckets(open_, labels, ROUNDS, tables)
+    members = tables.write(members.join(main.drop("hub"), "key").join(classes.select("node", "n", "registers"), "node"), "members")
+    near = tables.write(cross_members(members, floor), "near")
+    if not near.isEmpty():
+        wanted = tables.write(classes.join(near.select("node").distinct(), "node", "left_semi").select("node", "id", "key"), "wanted")
+        sets = tables.write(full_sets(docs, wanted, id_col, text_col), "sets")
+        members = members.join(near, ["key", "node"]).join(sets.dropDuplicates(["node"]), "node")
+        links = tables.write(links.union(cross_links(members, floor, percent)), "links")
+        labels = tables.write(connected_components(links, tables), "labels")
 
     named = labels.join(classes.select("node", "least"), "node")
-    least = write_table(named.groupBy("component").agg(F.min("least").alias("least")), "least")
-    named = labels.join(least, "component").select("node", F.col("least").alias("component_id"))
-    by_class = write_table(classes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
-    drop_table(labels, least)
+    least = tables.write(named.groupBy("component").agg(F.min("least").alias("least")), "least")
+    named = labels.join(small(least), "component").select("node", F.col("least").alias("component_id"))
+    by_class = tables.write(classes.select("node", "least").join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")), "named")
     out = rows.select("id", "node", "n", "key").join(by_class, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("key").alias("text_hash"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "text_hash")
+    return tables.result(out.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"), "text_hash"), "near")
