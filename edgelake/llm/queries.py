@@ -15,25 +15,44 @@ from edgelake.llm.shared import new_path, read
 #: (verdict, host, path)
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-OP6_SQL = r"""
-with recursive p as (
-  select page_id, url, html,
-    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') host,
-    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path
-  from pages),
-rules(verdict, rhost, rpath) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
--- absolute canonical links are edges between URLs without fragments
-e as (select split_part(url, '#', 1) a, split_part(regexp_extract(html, '(?is)<link\b[^>]*\brel="canonical"[^>]*\bhref="([^">]+://[^">]+)"', 1), '#', 1) b from p where html ilike '%rel="canonical"%'),
-e2 as (select a, b from e where b <> '' union select b, a from e where b <> ''),
+def sql_host(url: str) -> str:
+    return f"translate(regexp_extract({url}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def sql_node(url: str) -> str:
+    scheme = f"translate(regexp_extract({url}, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"case when contains({url}, '://') then {scheme} || '://' || {sql_host(url)} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) end"
+
+
+SQL_PATH = "regexp_extract({}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+SQL_RULE = """(select arg_max(verdict || ' ' || rhost || rpath, length(rhost) + length(rpath)) from rules
+    where ({0}.host = rhost or ends_with({0}.host, '.' || rhost)) and starts_with({0}.path, rpath))"""
+
+OP6_SQL = rf"""
+with recursive rules(verdict, rhost, rpath) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+p as (select page_id, url, html, coalesce({sql_host('url')}, '') host, coalesce({SQL_PATH.format('url')}, '') path from pages),
+-- canonical links and meta refreshes, resolved against their page
+tags as (select url, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0) link,
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0) meta from pages where contains(url, '://')),
+found as (
+  select url, regexp_extract(link, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) target from tags
+  union all select url, regexp_extract(meta, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>]+)', 1) from tags),
+parts as (
+  select url, replace(target, '&amp;', '&') target, regexp_extract(url, '(?s)^.*?://[^/?#]*', 0) root, regexp_replace({SQL_PATH.format('url')}, '[^/]*$', '') folder
+  from found where target <> ''),
+whole as (
+  select url, case when contains(target, '://') then target when starts_with(target, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || target
+    when starts_with(target, '/') then root || target else root || case when folder = '' then '/' else folder end || target end target
+  from parts),
+e as (select {sql_node('url')} a, {sql_node('target')} b from whole),
+e2 as (select a, b from e where a <> b union select b, a from e where a <> b),
 reach(a, b) as (select a, b from e2 union select r.a, e2.b from reach r join e2 on r.b = e2.a),
-ruled as (
-  select u.*, (select arg_max(rhost || rpath, length(rhost) + length(rpath)) from rules
-               where (u.host = rhost or ends_with(u.host, '.' || rhost)) and starts_with(u.path, rpath)) rule
-  from (select page_id, url, host, path from p) u),
-judged as (select r.*, (select verdict from rules where rhost || rpath = r.rule) verdict from ruled r),
-blocked as (select distinct reach.b url from judged j join reach on split_part(j.url, '#', 1) = reach.a where j.verdict = 'block')
-select page_id, host, path, rule,
-  coalesce(verdict, case when split_part(url, '#', 1) in (select url from blocked) then 'block' end, 'allow') verdict
+nodes as (select a url, {sql_host('a')} host, {SQL_PATH.format('a')} path from (select distinct a from e2)),
+blocked as (select distinct b url from reach join nodes n on reach.a = n.url where starts_with({SQL_RULE.format('n')}, 'block')
+  union select url from nodes n where starts_with({SQL_RULE.format('n')}, 'block')),
+judged as (select page_id, host, path, {sql_node('url')} node, {SQL_RULE.format('p')} found from p)
+select page_id, host, path, split_part(found, ' ', 2) rule,
+  coalesce(split_part(found, ' ', 1), case when node in (select url from blocked) then 'block' end, 'allow') verdict
 from judged
 """
 
