@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.llm.shared import drop_table, small, write_table
+from edgelake.llm.shared import Tables, small
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 #: Labelled rows that the learner uses, about; they are chosen by a hash of the id.
@@ -116,11 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if n > sample:
         own = own.where(F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     names = STATISTICS
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(own, min(n, sample)), "_id")
+    tables = Tables()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(tables.write(own, "own")), "_id")
     rows = rows.select("_id", "_label", counts_of(F.col("_text")).alias("c"))
     # null labels are rows that the base rules reject; they teach nothing
     rows = rows.select("_id", F.when(~base_failed(F.col("c")), F.col("_label") == 0).alias("bad"), *(v.alias(k) for k, v in statistics(F.col("c")).items()))
-    rows = write_table(rows, "labelled")
+    rows = tables.write(rows, "labelled")
     at = [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)]
     bad = [F.percentile_approx(F.when(F.col("bad"), F.col(k)), at).alias(f"bad_{k}") for k in names]
     good = [F.percentile_approx(F.when(~F.col("bad"), F.col(k)), [0.0, 0.001, 0.01, 0.99, 0.999, 1.0]).alias(f"good_{k}") for k in names]
@@ -134,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         cuts[k] = sorted({*b, *g, *near})
     bins = [sum((F.col(k) >= t).cast("int") for t in cuts[k]).alias(k) if cuts[k] else F.lit(0).alias(k) for k in names]
     counts = rows.where("bad is not null").select("bad", (F.pmod(F.xxhash64("_id"), F.lit(3)) < 2).alias("grow"), *bins).groupBy("bad", "grow", *names).count().collect()  # no more than the sample
-    drop_table(rows)
+    tables.drop(*tables.held)
     return cover([(r["grow"], r["bad"], tuple(r[k] for k in names), r["count"]) for r in counts], names, cuts)
 
 
@@ -177,7 +178,7 @@ def cover(counts: list[tuple[bool, bool, tuple[int, ...], int]], names: list[str
         worth = lambda r: (lambda p, n: (p - n) / (p + n) if p + n else -1.0)(*weigh(prune, r))
         if not rule:
             break
-        rule = max((rule[:size] for size in range(len(rule), 0, -1)), key=lambda r: round(worth(r), 6))
+        rule = max((rule[:size] for size in range(1, len(rule) + 1)), key=lambda r: round(worth(r), 6))  # of equal ones the shortest
         p, n = weigh(prune, rule)
         gp, gn = weigh(grow, rule)
         if p + gp < LEAST_ROWS or p + n == 0 or p < PRECISION * (p + n) or gp < PRECISION * (gp + gn):
