@@ -7,8 +7,9 @@ in ids within the shard. A shard's base, the ids of all shards before it, is a p
 
 A task writes its shard under another name and renames it at the end, so a task that runs twice, or whose executor
 is lost, leaves one whole shard. Defined results: null text is empty and gets the end id alone; null ids come first
-and are kept as the smallest 64-bit integer in the file; repeated rows are repeated documents, ordered by text;
-an empty table gives no shards. Ids must be integers.
+and are kept as the smallest 64-bit integer in the file, which as a real id reads back as null; repeated rows are
+repeated documents, and documents of one id are ordered by a hash of their text; a text of any length is written whole;
+other columns are ignored whatever their names; an empty table gives no shards. Ids must be integers.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from edgelake.llm.arrays import chunks
+from edgelake.llm.arrays import chunks, make_room
 from edgelake.llm.bpe import binary_slices, by_library, encoder, vocabulary
 from edgelake.llm.shared import bound_batches
 
@@ -36,6 +37,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
     """Encode every text, append ``end_id`` and write the shards; return (shard, n_docs, n_tokens, base) of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(encoder, vocabulary)
         vocab = vocabulary(tokenizer)
         encode, kind = encoder(tokenizer, by_library), np.dtype("<u2" if vocab.size <= 1 << 16 else "<u4")
         store, folder = pafs.FileSystem.from_uri(path)
@@ -65,7 +67,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(work, "shard long, n_docs long, n_tokens long").collect()
+    order = ["id", F.xxhash64("text")]  # rows of one id may be dealt to several shards
+    made = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(work, "shard long, n_docs long, n_tokens long").collect()
     base, out = 0, []
     for row in sorted(made, key=lambda r: r.shard):  # as many rows as shards
         out.append(Row(shard=row.shard, n_docs=row.n_docs, n_tokens=row.n_tokens, base=base))
