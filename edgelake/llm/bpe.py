@@ -6,66 +6,76 @@ rank, and each merge updates three leaves in logarithmic time, until no pair can
 
 Defined results: null is the empty text (no ids); repeated rows give repeated results; a text without spaces is
 one pre-token of any length; strings of special tokens inside a text become their ids, as the library does by
-default; texts with code points whose class differs between Unicode versions go through the library itself.
-Pre-tokens are told apart by 64-bit hashes of their bytes.
+default. The class of a code point (letter, number, white, other) is learned once in each worker from the
+vocabulary's own pre-tokenizer, so that it is the library's whatever the Unicode version. Pre-tokens are told apart
+by 64-bit hashes of their bytes.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from edgelake.llm.arrays import CACHES, chunks, gather, hash_spans
+from edgelake.llm.arrays import CACHES, chunks, gather, hash_spans, make_room
 from edgelake.llm.shared import bound_batches
 
-LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
-# Unicode's White_Space property.
-WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-#: Distinct pre-tokens in each of the two generations that a worker remembers.
-MEMO = 300_000
+LETTER, NUMBER, SPACE, OTHER, UNKNOWN = range(5)
+#: Distinct pre-tokens in each of the two generations that a worker remembers, about, and ids of all of them.
+MEMO, MEMO_IDS = 300_000, 3_000_000
 
 
-class Memo:
-    """A bounded map: when the young generation is full it becomes the old one, and the old one goes."""
-
-    def __init__(self, most: int = MEMO):
-        self.most, self.young, self.old = most, {}, {}
-
-    def missing(self, keys: list) -> list[int]:
-        """Positions of keys that aren't known; known ones are young afterwards."""
-        young, old = self.young, self.old
-        if len(young) > self.most:
-            old, young = self.old, self.young = young, {}
-        out = []
-        for i, k in enumerate(keys):
-            if k not in young:
-                if (found := old.get(k)) is None:
-                    out.append(i)
-                else:
-                    young[k] = found
-        return out
+class Shelf:
+    """Lists of ids by 64-bit key, as arrays: a few dozen bytes an entry."""
 
+    def __init__(self):
+        self.keys, self.first, self.length, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-@lru_cache(1)
-def classes() -> np.ndarray:
-    """The class of every code point; UNSURE where it may have been assigned in a recent Unicode version only."""
-    old = unicodedata.ucd_3_2_0.category
-    table = np.full(0x110000, OTHER, np.uint8)
-    for point in range(0x110000):
-        kind = unicodedata.category(chr(point))[0]
-        table[point] = {"L": LETTER, "N": NUMBER}.get(kind, OTHER)
-        if point > 0xFFFF or old(chr(point))[0] not in (kind, "C"[kind == "C" :]):
-            table[point] = UNSURE
-    table[WHITE_SPACE] = SPACE
-    return table
+    def index(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for those not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, length: np.ndarray, flat: np.ndarray) -> None:
+        """Add entries whose ids lie end to end in ``flat``; without ids, lengths are all that is kept."""
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        first = np.cumsum(length) - length + len(self.flat)
+        self.keys, self.first, self.length = (np.insert(old, at, new[order]) for old, new in ((self.keys, keys), (self.first, first), (self.length, length)))
+        self.flat = np.concatenate([self.flat, flat])
+
+
+class Memo:
+    """What is known of pre-tokens, bounded: when the young shelf is full it becomes the old one, and the old one goes."""
+
+    def __init__(self, most: int = MEMO, most_ids: int = MEMO_IDS):
+        self.most, self.most_ids, self.young, self.old = most, most_ids, Shelf(), Shelf()
+
+    def take(self, keys: np.ndarray, make: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, length, flat) of different keys; ``make`` gives the lengths and ids of those at the given places."""
+        if len(self.young.keys) > self.most or len(self.young.flat) > self.most_ids:
+            self.old, self.young = self.young, Shelf()
+        new = np.flatnonzero(self.young.index(keys) < 0)
+        if len(new):
+            at = self.old.index(keys[new])
+            known = at[at >= 0]
+            self.young.add(keys[new[at >= 0]], self.old.length[known], self.old.flat[gather(self.old.first[known], self.old.length[known])] if len(self.old.flat) else self.old.flat)
+            if len(rest := new[at < 0]):
+                self.young.add(keys[rest], *make(rest))
+        at = self.young.index(keys)
+        return self.young.first[at], self.young.length[at], self.young.flat
 
 
 def byte_letters() -> dict[int, str]:
@@ -82,7 +92,7 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, letters = spec["model"], byte_letters()
-        ids, back = model["vocab"], {c: b for b, c in letters.items()}
+        ids = model["vocab"]
         self.path = path
         self.suffix = model.get("end_of_word_suffix") or ""
         self.words_only = bool(self.suffix)
@@ -90,29 +100,76 @@ class Vocabulary:
         self.last = [ids[letters[b] + self.suffix] for b in range(256)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*ids.values(), *self.special.values()]) + 1
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        self.bytes = [b""] * self.size
-        for token, i in ids.items():
-            self.bytes[i] = bytes(back[c] for c in token.removesuffix(self.suffix)) if not self.suffix else token.encode()
-        for token, i in self.special.items():
-            self.bytes[i] = token.encode()
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        # the file's normalizer and pre-tokenizer, without its vocabulary
+        bare = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": model | {"vocab": {}, "merges": []}}))
+        self.normalize = bare.normalizer.normalize_str if bare.normalizer else str
+        self.split = bare.pre_tokenizer.pre_tokenize_str
+        self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
+        self.same: set[str] = set()  # characters that Python composes and lowers as the normalizer does
+        self.other: set[str] = set()
+
+    def model(self) -> dict:
+        with open(self.path, encoding="utf-8") as f:
+            return json.load(f)["model"]
 
     @cached_property
-    def library(self):
-        import os
+    def merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """(rank, id) of each pair of ids."""
+        model, found = self.model(), {}
+        for rank, pair in enumerate(model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            found[model["vocab"][a], model["vocab"][b]] = (rank, model["vocab"][a + b])
+        return found
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    @cached_property
+    def bytes(self) -> list[bytes]:
+        """The bytes of each id."""
+        back, found = {c: b for b, c in byte_letters().items()}, [b""] * self.size
+        for token, i in self.model()["vocab"].items():
+            found[i] = bytes(back[c] for c in token.removesuffix(self.suffix)) if not self.suffix else token.encode()
+        for token, i in self.special.items():
+            found[i] = token.encode()
+        return found
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's merges alone, for pre-tokens that are normalized and split already."""
         made = Tokenizer.from_file(self.path)
         made.no_truncation()
         made.no_padding()
+        made.normalizer = normalizers.Sequence([])
+        made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         return made
 
+    def clean(self, text: str) -> str:
+        """The text composed and in lower case, white space left alone; by the library itself if it has a character of which that isn't sure."""
+        for c in set(text) - self.same - self.other:
+            # compositions of characters as old as Unicode 3.2 are fixed
+            sure = unicodedata.ucd_3_2_0.category(c) != "Cn" and (c.isspace() or self.normalize(c) == unicodedata.normalize("NFC", c).lower())
+            (self.same if sure and c != "\u03a3" else self.other).add(c)
+        return unicodedata.normalize("NFC", text).lower() if self.other.isdisjoint(text) else self.normalize(text)
+
+    def kinds_of(self, points: np.ndarray) -> np.ndarray:
+        """The classes of code points; those met for the first time are asked from the pre-tokenizer."""
+        found = self.kinds[points]
+        new = found == UNKNOWN
+        if new.any():
+            for point in np.unique(points[new]).tolist():
+                self.kinds[point] = self.kind_of(chr(point))
+            found = self.kinds[points]
+        return found
+
+    def kind_of(self, c: str) -> int:
+        """A character's class, by what it forms one pre-token with."""
+        if not self.split(c):
+            return SPACE
+        if len(self.split("a" + c)) == 1:
+            return LETTER
+        if len(self.split("!" + c)) == 1:
+            return OTHER
+        return NUMBER if len(self.split(c if self.words_only else "1" + c)) == 1 else SPACE
+
     def symbols(self, token: bytes) -> list[int]:
         out = [self.first[b] for b in token]
         out[-1] = self.last[token[-1]]
@@ -121,6 +178,7 @@ class Vocabulary:
 
 @lru_cache(4)
 def vocabulary(path: str) -> Vocabulary:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Vocabulary(path)
 
 
@@ -173,27 +231,22 @@ def merge_by_tree(symbols: list[int], merges: dict[tuple[int, int], tuple[int, i
     return [s for s in symbols if s >= 0]
 
 
-def pre_tokens(raw: np.ndarray, off: np.ndarray, words_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of pre-tokens of texts laid end to end, and which texts hold code points of unsure class."""
-    table = classes()
+def pre_tokens(raw: np.ndarray, off: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of pre-tokens of texts laid end to end."""
     lead = np.flatnonzero((raw & 0xC0) != 0x80)
     head = raw[lead]
-    kind = table[:128][np.minimum(head, 127)]
+    kind = vocab.kinds_of(np.arange(128))[np.minimum(head, 127)]
     wide = np.flatnonzero(head >= 0x80)
     if len(wide):
         pad = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32) if len(raw) < 1 << 22 else None
         at, b = lead[wide], head[wide].astype(np.int32)
         tail = [((pad[at + k] if pad is not None else raw[np.minimum(at + k, len(raw) - 1)].astype(np.int32)) & 63) for k in (1, 2, 3)]
         point = np.where(b < 0xE0, (b & 31) << 6 | tail[0], np.where(b < 0xF0, (b & 15) << 12 | tail[0] << 6 | tail[1], (b & 7) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
-        kind[wide] = table[point]
+        kind[wide] = vocab.kinds_of(point)
     n = len(lead)
     doc = np.searchsorted(lead, off)  # first character of each text
-    unsure = np.zeros(len(off) - 1, bool)
-    odd = np.flatnonzero(kind == UNSURE)
-    if len(odd):
-        unsure[np.searchsorted(doc, odd, "right") - 1] = True
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), unsure
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.zeros(n + 1, bool)  # a text begins here
     edge[doc] = True
     edge[n] = True
@@ -203,7 +256,7 @@ def pre_tokens(raw: np.ndarray, off: np.ndarray, words_only: bool) -> tuple[np.n
     start = ~same
     space = kind == SPACE
     quote = np.flatnonzero((head == 39) & start)
-    if words_only:
+    if vocab.words_only:
         start |= kind == NUMBER
     else:
         joined = np.zeros(n, bool)  # the blank before goes with this run
@@ -228,10 +281,10 @@ def pre_tokens(raw: np.ndarray, off: np.ndarray, words_only: bool) -> tuple[np.n
     first = np.flatnonzero(start)
     at = lead[first]
     to = np.append(at[1:], len(raw))
-    if words_only:
+    if vocab.words_only:
         keep = ~space[first]
         at, to = at[keep], to[keep]
-    return at, to, unsure
+    return at, to
 
 
 class Encoder:
@@ -243,29 +296,20 @@ class Encoder:
     def of_tokens(self, raw: np.ndarray, at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token's code, ids of all codes end to end, start by code, length by code)."""
         codes, distinct = pd.factorize(hash_spans(raw, at, to))
-        keys = distinct.tolist()
-        missing = self.memo.missing(keys)
-        memo = self.memo.young
-        if missing:
-            seen = np.full(len(keys), -1)
+
+        def make(missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            seen = np.full(len(distinct), -1)
             seen[codes[::-1]] = np.arange(len(codes))[::-1]
-            place = seen[missing]
-            data = raw.tobytes()
+            place, data = seen[missing], raw.tobytes()
             made = self.encode_missing(self.vocab, [data[a:b] for a, b in zip(at[place].tolist(), to[place].tolist(), strict=True)])
-            memo.update(zip([keys[i] for i in missing], (np.array(x, np.uint32).tobytes() for x in made), strict=True))
-        parts = [memo[k] for k in keys]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        return codes, np.frombuffer(b"".join(parts), np.uint32), np.cumsum(lengths) - lengths, lengths
+            return np.fromiter(map(len, made), np.int64, len(made)), np.fromiter(chain.from_iterable(made), np.uint32)
+
+        first, length, flat = self.memo.take(distinct, make)
+        return codes, flat, first, length
 
     def _clean(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Texts as the vocabulary's normalizer leaves them: composed, then lower case without regard to context."""
-        out = []
-        for text in texts:
-            if text.isascii():
-                out.append(text.lower())
-            else:
-                t = unicodedata.normalize("NFC", text.decode())
-                out.append((t.lower() if "Σ" not in t else "".join(c.lower() for c in t)).encode())
+        """Texts as the vocabulary's normalizer leaves them."""
+        out = [text.lower() if text.isascii() else self.vocab.clean(text.decode()).encode() for text in texts]
         return np.frombuffer(b"".join(out), np.uint8), np.cumsum([0, *map(len, out)])
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,23 +320,19 @@ class Encoder:
         source_raw, source_off = raw, off
         if v.words_only:
             raw, off = self._clean([data[off[i] : off[i + 1]] for i in range(n)])
-        at, to, unsure = pre_tokens(raw, off, v.words_only)
+        at, to = pre_tokens(raw, off, v)
         codes, flat, first, length = self.of_tokens(raw, at, to)
         ids = flat[gather(first[codes], length[codes])]
         bounds = np.concatenate([[0], np.cumsum(length[codes])])[np.searchsorted(at, off)]
-        by_hand = {*special, *np.flatnonzero(unsure).tolist()}
-        if by_hand:
+        if special:
             parts = [ids[bounds[i] : bounds[i + 1]] for i in range(n)]
-            for i in by_hand:
-                parts[i] = self._whole(bytes(source_raw[source_off[i] : source_off[i + 1]]).decode(), bool(unsure[i]))
+            for i in special:
+                parts[i] = self._around_special(bytes(source_raw[source_off[i] : source_off[i + 1]]).decode())
             ids, bounds = np.concatenate(parts), np.cumsum([0, *map(len, parts)])
         return ids, bounds
 
-    def _whole(self, text: str, unsure: bool) -> np.ndarray:
-        v = self.vocab
-        if unsure:
-            return np.array(v.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        out = []
+    def _around_special(self, text: str) -> np.ndarray:
+        v, out = self.vocab, []
         for part in v.split_special.split(text):
             if part in v.special:
                 out.append(np.array([v.special[part]], np.uint32))
@@ -347,6 +387,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(encoder, vocabulary)
         encode, decode = encoder(tokenizer, by_tree), decoder(vocabulary(tokenizer))
         for rows, raw, off in chunks(batches):
             ids, bounds = encode(raw, off)

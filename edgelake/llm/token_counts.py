@@ -2,7 +2,12 @@
 
 The distinct pre-tokens of a chunk are one ragged array of symbols. Each round finds every sequence's lowest pair
 rank and merges all its occurrences at once, from the left; sequences without a mergeable pair leave. What
-survives is counted. Null is the empty text with 0 tokens; special strings count as in the library's default.
+survives is counted.
+
+Defined results: null is the empty text with 0 bytes and 0 tokens; a special string counts as one token, as in the
+library's default; a text of any length is counted whole, also one without a space; each of repeated rows gets the
+result of its text, ids may be null or repeated; columns of other names are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.llm.arrays import CACHES, chunks, gather, hash_spans
+from edgelake.llm.arrays import CACHES, chunks, gather, hash_spans, make_room
 from edgelake.llm.bpe import Memo, Vocabulary, pre_tokens, vocabulary
 from edgelake.llm.shared import bound_batches
 
@@ -80,40 +85,35 @@ class TokenCounter:
         self.vocab, self.merger, self.known = vocab, Merger(vocab), Memo()
         self.specials = [t.encode() for t in vocab.special]
 
-    def plain(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens by text, special strings taken as text; and which texts hold code points of unsure class."""
-        at, to, unsure = pre_tokens(raw, off, False)
+    def plain(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Tokens by text, special strings taken as text."""
+        at, to = pre_tokens(raw, off, self.vocab)
         codes, distinct = pd.factorize(hash_spans(raw, at, to))
-        keys = distinct.tolist()
-        missing = self.known.missing(keys)
-        memo = self.known.young
-        if missing:
-            seen = np.full(len(keys), -1)
+
+        def make(missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            seen = np.full(len(distinct), -1)
             seen[codes[::-1]] = np.arange(len(codes))[::-1]
             place = seen[missing]
             size = to[place] - at[place]
-            symbols = self.merger.first[raw[gather(at[place], size)]]
-            memo.update(zip([keys[i] for i in missing], self.merger.count(symbols, size).tolist(), strict=True))
-        each = np.fromiter((memo[k] for k in keys), np.int64, len(keys))
-        return np.diff(np.concatenate([[0], np.cumsum(each[codes])])[np.searchsorted(at, off)]), unsure
+            return self.merger.count(self.merger.first[raw[gather(at[place], size)]], size), np.zeros(0, np.uint32)
+
+        _, each, _ = self.known.take(distinct, make)
+        return np.diff(np.concatenate([[0], np.cumsum(each[codes])])[np.searchsorted(at, off)])
 
     def with_special(self, text: bytes) -> int:
         """Tokens of one text that holds special strings."""
         total = 0
         for part in self.vocab.split_special.split(text.decode()):
             data = np.frombuffer(part.encode(), np.uint8)
-            total += part in self.vocab.special or (int(self.plain(data, np.array([0, len(data)]))[0][0]) if len(data) else 0)
+            total += part in self.vocab.special or (int(self.plain(data, np.array([0, len(data)]))[0]) if len(data) else 0)
         return total
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> np.ndarray:
-        n, unsure = self.plain(raw, off)
-        data = raw.tobytes()
-        for i in np.flatnonzero(unsure).tolist():
-            n[i] = len(self.vocab.library.encode(data[off[i] : off[i + 1]].decode(), add_special_tokens=False).ids)
+        n, data = self.plain(raw, off), raw.tobytes()
         if any(t in data for t in self.specials):
             for i in range(len(n)):
                 text = data[off[i] : off[i + 1]]
-                if not unsure[i] and any(t in text for t in self.specials):
+                if any(t in text for t in self.specials):
                     n[i] = self.with_special(text)
         return n
 
@@ -135,6 +135,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(counter, vocabulary)
         count = counter(tokenizer)
         for rows, raw, off in chunks(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(off), pa.int64()), pa.array(count(raw, off), pa.int64())], ["id", "n_bytes", "n_tokens"])
