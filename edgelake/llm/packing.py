@@ -7,7 +7,8 @@ residual tokens, documents and attention cost (the sum of squared lengths) all s
 weighted dot product of demand and residual, or the one that is left with the smallest weighted residual norm.
 
 Defined results: null text is empty and is a piece of the end id alone; repeated rows are packed each; ids may be
-null; an empty table gives an empty result; a text of any length is cut, nothing else is.
+null; pieces of equal length are taken in any order; an empty table gives an empty result; a text of any length is cut,
+nothing else is; cut() ignores other columns, pack() keeps them but replaces sequence_id and offset.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelake.llm.arrays import chunks
-from edgelake.llm.bpe import binary_slices, by_library, encoder
-from edgelake.llm.shared import bound_batches, write_table
+from edgelake.llm.arrays import chunks, make_room
+from edgelake.llm.bpe import binary_slices, by_library, encoder, vocabulary
+from edgelake.llm.shared import Tables, bound_batches
 
-#: Full sequences that a group of pieces would fill.
-GROUP = 1024
+#: Full sequences that a group of pieces would fill, and pieces of a group at most, about.
+GROUP, PIECES = 1024, 100_000
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,6 +35,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_col: s
     bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(encoder, vocabulary)
         encode = encoder(tokenizer, by_library)
         for rows, raw, off in chunks(batches):
             ids, bounds = encode(raw, off)
@@ -94,8 +96,8 @@ def pack(
 
     Unless given, the limits on documents and attention cost are those that the tokens imply.
     """
-    total = pieces.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (max_tokens * GROUP)))
+    total, n = pieces.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, round((total or 0) / (max_tokens * GROUP)), -(-n // PIECES))
     docs_limit, cost_limit = max_docs or max_tokens, max_cost or float(max_tokens) ** 2
     if cost_limit < max_tokens**2:
         raise ValueError("a sequence must be able to hold one whole piece")
@@ -116,4 +118,5 @@ def pack(
 def cut_and_pack(docs: DataFrame, tokenizer: str, end_id: int, max_tokens: int, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """One row per piece: ``id_col``, piece, start, length, ids_crc32, sequence_id, offset. The ids are not kept; cut() gives them again."""
     pieces = cut(docs, tokenizer, end_id, max_tokens, id_col, text_col).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(write_table(pieces, "pieces"), max_tokens, **limits)
+    tables = Tables()
+    return tables.result(pack(tables.write(pieces, "pieces"), max_tokens, **limits), "packed")
