@@ -1,5 +1,6 @@
 """Encoding, counting, files and packing against the tokenizers library."""
 
+import functools
 import hashlib
 import zlib
 
@@ -27,6 +28,7 @@ def docs(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int").repartition(3)
 
 
+@functools.cache
 def library(path):
     made = Tokenizer.from_file(path)
     return lambda t: made.encode(t or "", add_special_tokens=False).ids
@@ -52,6 +54,52 @@ def test_counts(docs):
         token_counts.count_tokens(docs, WORDS)
 
 
+RARE = "😀 hi👩‍👩‍👧 x1 ٣४5 𝟘𝟙 日本語 한국어 Ἀθῆναι İstanbul ΣΑΣ ﬁ \u0378 ꟊa 𐕰b 𞤀 \u3000z\u2028q ''s 😀's it'ꟊ"
+
+
+def test_no_text_goes_whole_to_the_library(monkeypatch):
+    """Emoji, newer scripts and unassigned code points, with the library's encoders out of reach."""
+    want, counted = library(BYTES)(RARE), len(library(BYTES)(RARE))
+    vocab = bpe.Vocabulary(BYTES)
+    monkeypatch.setattr(bpe.Vocabulary, "library", property(lambda _: pytest.fail("the library was asked")))
+    raw = np.frombuffer(RARE.encode(), np.uint8)
+    off = np.array([0, len(raw)])
+    assert bpe.Encoder(vocab, bpe.by_tree)(raw, off)[0].tolist() == want
+    assert token_counts.TokenCounter(vocab)(raw, off).tolist() == [counted]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40))
+def test_any_code_points(text):
+    raw = np.frombuffer(text.encode(errors="ignore"), np.uint8)
+    text, off = raw.tobytes().decode(), np.array([0, len(raw)])
+    for path, ways in ((BYTES, (bpe.by_tree,)), (WORDS, (bpe.by_tree, bpe.by_library))):
+        want = library(path)(text)
+        for way in ways:
+            assert bpe.Encoder(bpe.vocabulary(path), way)(raw, off)[0].tolist() == want
+    assert int(token_counts.TokenCounter(bpe.vocabulary(BYTES))(raw, off)[0]) == len(library(BYTES)(text))
+
+
+def test_memo_is_bounded():
+    memo, made = bpe.Memo(most=10, most_ids=1000), []
+
+    def take(keys):
+        def make(at):
+            made.extend(keys[i] for i in at)
+            return np.array([keys[i] % 4 for i in at]), np.concatenate([np.full(keys[i] % 4, keys[i], np.uint32) for i in at])
+
+        first, length, flat = memo.take(np.array(keys, np.uint64), make)
+        assert [flat[a : a + n].tolist() for a, n in zip(first, length, strict=True)] == [[k] * (k % 4) for k in keys]
+
+    for at in range(0, 100, 5):
+        take([99, *range(at, at + 5)] if at < 95 else [99])
+        take([at, 99])
+        assert len(memo.young.keys) <= 16
+    assert made.count(99) == 1 and made.count(3) == 1  # what is used stays
+    take([3])
+    assert made.count(3) == 2
+
+
 def test_files(spark, docs):
     path, ids = new_path(spark, "test"), library(BYTES)
     shards = token_files.write_files(docs, path, BYTES, 0)
@@ -75,25 +123,56 @@ def test_empty_tables(spark, docs):
 
 
 def test_packing(docs):
-    ids, text = library(WORDS), {r["doc_id"]: r["text"] for r in docs.collect()}
-    rows = packing.cut_and_pack(docs, WORDS, end_id=1, max_tokens=64).collect()
-    by_doc, by_sequence = {}, {}
-    for r in rows:
-        by_doc.setdefault(r["doc_id"], {})[r["piece"]] = r
-        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for doc, pieces in by_doc.items():
-        want = np.array([*ids(text[doc]), 1], "<u4")
-        assert sorted(pieces) == list(range(-(-len(want) // 64)))
-        for i, r in pieces.items():
-            part = want[64 * i : 64 * i + 64]
-            assert (r["start"], r["length"], r["ids_crc32"]) == (64 * i, len(part), zlib.crc32(part.tobytes()))
-    for parts in by_sequence.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 64
-    assert len(by_sequence) <= -(-sum(r["length"] for r in rows) // 64) + 2
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    once = docs.dropDuplicates(["doc_id"])
+    check_packed(packing.cut_and_pack(once, WORDS, end_id=1, max_tokens=64).collect(), text, 64)
+    pieces = lambda rows: sum(r["length"] for r in rows)
+    twice = packing.cut_and_pack(docs, WORDS, end_id=1, max_tokens=64).collect()
+    assert pieces(twice) == pieces(packing.cut_and_pack(once.union(docs.where("doc_id = 3").limit(1)), WORDS, end_id=1, max_tokens=64).collect())
+
+
+def test_packing_limits(spark):
+    """Limits on documents and attention cost that bind, through pack(); and many tiny pieces in several groups."""
+    rows = spark.createDataFrame([(i, 10 if i % 3 else 60, i) for i in range(300)], "doc_id long, length long, offset long")
+    for by in ("dot", "norm"):
+        got = packing.pack(rows, 100, max_docs=4, max_cost=10_000.0, by=by).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t"), F.sum(F.col("length") ** 2).alias("c")).collect()
+        assert all(r["n"] <= 4 and r["t"] <= 100 and r["c"] <= 10_000 for r in got) and sum(r["n"] for r in got) == 300
+        assert len(got) <= 110
+    with pytest.raises(ValueError):
+        packing.pack(rows, 100, max_cost=5.0)
+
+
+def test_tiny_pieces_are_dealt_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PIECES", 50)
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("length"))
+    got = packing.pack(rows, 4096).collect()
+    assert len({r["sequence_id"] for r in got}) > 1 and len(got) == 400
+
+
+def plain_best_fit(lengths, tokens, docs, cost, weights, by):
+    """Best fit as it is defined: all sequences stay open."""
+    bins, out = [], []
+    for length in lengths:
+        need = np.array([length / tokens, 1 / docs, length**2 / cost])
+        fit = [(k, left) for k, left in enumerate(bins) if (left - need >= -1e-9).all()]
+        if fit:
+            score = (lambda left: -(left * need * weights).sum()) if by == "dot" else (lambda left: ((left - need) ** 2 * weights).sum())
+            k = min(fit, key=lambda x: round(score(x[1]), 9))[0]
+        else:
+            k = len(bins)
+            bins.append(np.ones(3))
+        bins[k] = bins[k] - need
+        out.append(k)
+    return len(bins)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=40), st.integers(2, 6), st.sampled_from(["dot", "norm"]), st.floats(10_000, 40_000))
+def test_best_fit_needs_as_many_sequences_as_the_plain_one(lengths, docs, by, cost):
+    lengths = np.sort(np.array(lengths, np.int64))[::-1]
+    sequence, _ = packing.best_fit(lengths, 100, docs, cost, (1.0, 0.1, 0.1), by)
+    # ties between sequences may fall otherwise
+    assert abs(len(set(sequence.tolist())) - plain_best_fit(lengths.tolist(), 100, docs, cost, np.array([1.0, 0.1, 0.1]), by)) <= 1
 
 
 @settings(max_examples=60, deadline=None)
@@ -134,4 +213,28 @@ def test_queries_give_the_contracts_columns(spark):
         want = np.array([*ids(docs[r["doc_id"]]), 0], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(want), zlib.crc32(want.tobytes()))
         start += len(want)
-    assert queries()["op8_token_counts"](spark, d).where(F.col("over_limit") != (F.col("n_tokens") > 1024)).isEmpty()
+    for r in queries()["op8_token_counts"](spark, d).collect():
+        n = len(ids(docs[r["doc_id"]]))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 1024)
+    check_packed(queries()["op4_packing"](spark, d).collect(), docs, 4096)
+
+
+def check_packed(rows, docs, size):
+    ids, by_doc, by_sequence = library(WORDS), {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], {})[r["piece"]] = r
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert by_doc.keys() == docs.keys()
+    for doc, pieces in by_doc.items():
+        want = np.array([*ids(docs[doc]), 1], "<u4")
+        assert sorted(pieces) == list(range(-(-len(want) // size)))
+        for i, r in pieces.items():
+            part = want[size * i : size * (i + 1)]
+            assert (r["start"], r["length"], r["ids_crc32"]) == (size * i, len(part), zlib.crc32(part.tobytes()))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= size
+    assert len(by_sequence) <= -(-sum(r["length"] for r in rows) // size) + 2
