@@ -118,8 +118,14 @@ SIGNAL = "underlying string, instrument_class string, direction string, holding_
 BOOK = "trade_id string, instrument_class string, underlying string, direction string, holding_period int, margin double"
 
 
+def numbered(spark, signals):
+    """Signals with their place: a join keeps no order of rows."""
+    return spark.createDataFrame([(i, *signal(**s).values()) for i, s in enumerate(signals)], f"place int, {SIGNAL}")
+
+
 def reasons(spark, signals, book=(), **more):
-    return [r["reason"] for r in gate.risk(spark.createDataFrame([tuple(signal(**s).values()) for s in signals], SIGNAL), spark.createDataFrame(list(book), BOOK), **more).collect()]
+    rows = gate.risk(numbered(spark, signals), spark.createDataFrame(list(book), BOOK), **more).collect()
+    return [r["reason"] for r in sorted(rows, key=lambda r: r["place"])]
 
 
 def test_governor_scenarios(spark):
@@ -134,9 +140,16 @@ def test_governor_scenarios(spark):
 
 
 def test_validator(spark):
-    rows = spark.createDataFrame([tuple(signal(**s).values()) for s in ({}, {"transition_warning_flag": True}, {"trigger_value": -1.3}, {"edge_id": "SEED-006"}, {"edge_id": "unknown"})], SIGNAL)
-    got = [(r["decision"], r["reason"]) for r in gate.validate(rows, spark.createDataFrame([], BOOK), fx.edges(spark)).collect()]
-    assert got == [("APPROVED", "OK"), ("REJECTED", "TRANSITION_WATCH_ACTIVE"), ("REJECTED", "SIGNAL_STRENGTH_INSUFFICIENT"), ("REJECTED", "EDGE_DECAYED"), ("APPROVED", "OK")]
+    rows = numbered(spark, [{}, {"transition_warning_flag": True}, {"trigger_value": -1.3}, {"edge_id": "SEED-006"}, {"edge_id": "unknown"}])
+    want = {0: ("APPROVED", "OK"), 1: ("REJECTED", "TRANSITION_WATCH_ACTIVE"), 2: ("REJECTED", "SIGNAL_STRENGTH_INSUFFICIENT"), 3: ("REJECTED", "EDGE_DECAYED"), 4: ("APPROVED", "OK")}
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for bytes_ in (most, "-1"):  # joined by broadcast and by shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bytes_)
+        try:
+            got = {r["place"]: (r["decision"], r["reason"]) for r in gate.validate(rows, spark.createDataFrame([], BOOK), fx.edges(spark)).collect()}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        assert got == want
 
 
 def naive_walk(signals, days):
