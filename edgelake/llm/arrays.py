@@ -96,9 +96,10 @@ def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((tail - head) * undo)
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end, and n + 1 word offsets by text."""
-    inside = ~WHITE[raw]
+def word_spans(raw: np.ndarray, off: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts laid end to end, and n + 1 word offsets by text; ``between`` marks the
+    bytes outside words, by default those of ``[\\x20\\x09-\\x0D]``."""
+    inside = ~between[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[off] = True
     before = np.zeros(len(raw), bool)

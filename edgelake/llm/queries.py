@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelake.llm import bpe, embedding_dedup, langid, near_dedup, packing, quality, substring_dedup, token_counts, token_files, urls
+from edgelake.llm import bpe, centroids, embedding_dedup, langid, near_dedup, packing, quality, resampling, substring_dedup, token_counts, token_files, urls, vector_search
 from edgelake.llm.shared import new_path, read
+from edgelake.llm.sql import OP12_SQL, OP13_SQL, clusters_sql
 
 
 #: (verdict, host, path)
@@ -105,9 +106,21 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.components(read(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, seed=2024).drop("n_words")
+
+
+def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(read(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_passages, op2_langid, op3_near_dedup, op4_packing, op5_bpe, op6_urls, op7_token_files, op8_token_counts, op9_quality, op10_embeddings)}
+    return {f.__name__: f for f in (op1_passages, op2_langid, op3_near_dedup, op4_packing, op5_bpe, op6_urls, op7_token_files, op8_token_counts, op9_quality, op10_embeddings, op11_centroids, op12_resampling, op13_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urls": OP6_SQL}
+    return {"op6_urls": OP6_SQL, "op11_centroids": clusters_sql(k=8, rounds=10, seed=3), "op12_resampling": OP12_SQL, "op13_vector_search": OP13_SQL}
