@@ -1,22 +1,23 @@
 """Exact nearest neighbours by a block matrix join over quantised vectors.
 
 Each distinct vector is a node; it is scaled to 8-bit integers, and the norms of the scaled vector and of what rounding
-took away are kept. Query nodes are cut into blocks, and candidate nodes into strips of blocks: a task takes one block of
+took away are kept. Query nodes are cut into blocks, and candidate nodes into strips: a task takes one block of
 queries and reads its strip in tiles as they come, so it holds one block and one tile whatever the strip's length.
 The product of two 8-bit tiles is exact; with the norms it bounds the inner product from both sides (Cauchy-Schwarz on
-the rounding errors). The lower bounds of a query's best candidates so far are a heap that carries from tile to tile, and
-candidates whose upper bound falls below its least entry are dropped for good. What a strip leaves is a little more than
-the asked number for each query; over all strips it is cut by the same rule again, and only then are the original vectors
-joined and the products taken in double precision, component after component. Heaps merge the results of a query.
+the rounding errors). Pairs whose upper bound falls below the query's least result so far, or below as many lower
+bounds of the tile as are asked for, are dropped for good. The others are recomputed in double precision from the original
+vectors, component after component, and the best are merged into the query's heap. A strip returns as many nodes a
+query as can be asked for and no more, however many vectors lie close together; heaps of all strips are merged at the end.
 
-Only 8-bit codes are copied for each pair of a block and a strip. Copies of a vector are one node with its smallest
-ids, as many as can be asked for, which are selected in each task before they are shuffled, then in salted groups. The
-work is the product of queries and candidates, as an exact search needs; blocks spread it evenly.
+Copies of a vector are one node with its smallest ids, as many as can be asked for, which are selected in each task
+before they are shuffled, then in salted groups. The work is the product of queries and candidates, as an exact search
+needs; blocks and strips spread it evenly, and each candidate is copied once for each block of queries.
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and rows with a null id
 take no part; only vectors of equal length are compared; rows repeated with id and vector count once, and rows that share
-an id but not the vector are queries and candidates of their own; equal scores go to smaller ids; fewer candidates than asked for are all returned; other columns are ignored whatever their names; an empty table
-gives an empty result. Distinct vectors are told apart by 64-bit hashes.
+an id but not the vector are queries and candidates of their own; equal scores go to smaller ids; fewer candidates than
+asked for are all returned; ids are whole numbers; other columns are ignored whatever their names; an empty table gives an
+empty result. Distinct vectors are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,28 +38,28 @@ from edgelake.llm.shared import Tables, bound_batches, small
 
 #: Query nodes of a block and about how many blocks there are between these bounds; candidates of a strip at least, and strips at most.
 BLOCK, LARGEST_BLOCK, BLOCKS, STRIP, STRIPS = 512, 16_384, 64, 8192, 64
-#: Pairs of a tile, components of an exact product in single precision, and entries for each asked one before bounds are applied again.
-TILE, SLICE, HELD = 1 << 21, 1024, 8
+#: Pairs of a tile, components of an exact product in single precision, and pairs that are recomputed at once.
+TILE, SLICE, PAIRS = 1 << 21, 1024, 1 << 15
 #: Groups that the copies of a vector are dealt to.
 SALTS = 64
 #: Room for rounding in the bounds, as a share of the product of two norms.
 ROOM = 1e-9
+ROW = ["node", "size", "least", "vector", "code", "step", "length", "error"]
 
 
 def quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, size, code, step, length, error) of (node, size, vector): components are code * step, up to a vector of norm ``error``; length is the norm of code * step."""
+    """Add code, step, length and error to (node, size, least, vector): components are code * step, up to a vector of norm ``error``; length is the norm of code * step."""
     make_room()
     for batch in batches:
         for part in by_length(batch):
             x = matrix(part.column("vector"))
             step = np.abs(x).max(1) / 127
-            with np.errstate(invalid="ignore", divide="ignore"):
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
                 code = np.where(step[:, None] > 0, np.rint(x / step[:, None]), 0).astype(np.int8)
-            back = code * step[:, None]
-            data = [np.sqrt((v * v).sum(1)) for v in (back, x - back)]
-            width = x.shape[1]
-            codes = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * width), pa.py_buffer(np.ascontiguousarray(code))])
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), codes, pa.array(step), *map(pa.array, data)], ["node", "size", "code", "step", "length", "error"])
+                back = code * step[:, None]
+                norms = [np.sqrt((v * v).sum(1)) for v in (back, x - back)]
+            codes = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.py_buffer(np.ascontiguousarray(code))])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "size", "least", "vector")), codes, pa.array(step), *map(pa.array, norms)], ROW)
 
 
 def codes_of(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
@@ -78,110 +79,96 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows in double precision, summed from the first component to the last."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += x[:, j] * y[:, j]
+    return total
+
+
 class Block:
-    """The queries of a block: the best lower bounds so far, and the candidates that may still be among the best."""
+    """The queries of a block and the k best nodes of each so far."""
 
     def __init__(self, rows: pa.Table, k: int):
         self.k, self.node, self.size = k, rows.column("node").to_numpy(), rows.column("size")[0].as_py()
-        self.code = codes_of(rows.column("code"), self.size)
+        self.code, self.vector = codes_of(rows.column("code"), self.size), matrix(rows.column("vector").combine_chunks())
         self.step, self.length, self.error = (rows.column(c).to_numpy() for c in ("step", "length", "error"))
-        self.low = np.full((len(self.node), k), -np.inf)  # of each query, a heap by rows: the k best lower bounds
-        self.held: list[tuple[np.ndarray, ...]] = []
-        self.n_held, self.most = 0, HELD * k * len(self.node)
+        none = np.zeros(0, np.int64)
+        self.best = (none, np.zeros(0), none, none)  # (query's place, score, least id, node), sorted by place, then best first
+        self.least = np.full(len(self.node), -np.inf)  # score of the k-th
 
-    def tile(self, node: np.ndarray, code: np.ndarray, step: np.ndarray, length: np.ndarray, error: np.ndarray) -> None:
+    def tile(self, rows: pa.RecordBatch) -> None:
+        step, length, error = (rows.column(c).to_numpy() for c in ("step", "length", "error"))
         with np.errstate(over="ignore", invalid="ignore"):
-            about = products(self.code, code) * step[None, :] * self.step[:, None]
+            about = products(self.code, codes_of(rows.column("code"), self.size)) * step[None, :] * self.step[:, None]
             off = self.length[:, None] * error[None, :] + self.error[:, None] * (length + error)[None, :]
             off += ROOM * (self.length + self.error)[:, None] * (length + error)[None, :]
             low, high = about - off, about + off
-        low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf  # products beyond double precision are left to the exact step
-        best = low if low.shape[1] <= self.k else np.partition(low, low.shape[1] - self.k, 1)[:, -self.k :]
-        both = np.concatenate([self.low, best], 1)
-        self.low = np.partition(both, both.shape[1] - self.k, 1)[:, -self.k :]
-        q, c = np.nonzero(high >= self.low.min(1)[:, None])
-        self.held.append((q, node[c], low[q, c], high[q, c]))
-        self.n_held += len(q)
-        if self.n_held > self.most:
-            self.cut()
-
-    def cut(self) -> None:
-        """Drop candidates that bounds found since exclude."""
-        q, node, low, high = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        keep = high >= self.low.min(1)[q]
-        self.held = [(q[keep], node[keep], low[keep], high[keep])]
-        self.n_held = int(keep.sum())
+        low[np.isnan(low)], high[np.isnan(high)] = -np.inf, np.inf  # beyond double precision no bound is known
+        floor = self.least
+        if rows.num_rows >= self.k:
+            floor = np.maximum(floor, np.partition(low, rows.num_rows - self.k, 1)[:, -self.k])
+        q, c = np.nonzero(high >= floor[:, None])
+        vector, least, node = matrix(rows.column("vector")), rows.column("least").to_numpy(), rows.column("node").to_numpy()
+        for at in range(0, len(q), PAIRS):
+            p, r = q[at : at + PAIRS], c[at : at + PAIRS]
+            near = high[p, r] >= self.least[p]  # results so far may exclude more
+            p, r = p[near], r[near]
+            score = in_order(self.vector[p], vector[r])
+            p, score, r = (v[score >= self.least[p]] for v in (p, score, r))
+            if len(p):
+                self.merge(p, score, least[r], node[r])
+
+    def merge(self, *found: np.ndarray) -> None:
+        q, score, least, node = (np.concatenate(x) for x in zip(self.best, found, strict=True))
+        order = np.lexsort((node, least, -score, q))
+        rank = np.arange(len(q)) - np.searchsorted(q[order], q[order])
+        order = order[rank < self.k]
+        self.best = tuple(x[order] for x in (q, score, least, node))
+        full = rank[rank < self.k] == self.k - 1
+        self.least[self.best[0][full]] = self.best[1][full]
 
     def batch(self) -> pa.RecordBatch:
-        """What is held, which is then let go."""
-        self.cut()
-        (q, node, low, high), self.held, self.n_held = self.held[0], [], 0
-        return pa.RecordBatch.from_arrays([pa.array(self.node[q]), pa.array(node), pa.array(low), pa.array(high)], ["query", "node", "low", "high"])
+        q, score, least, node = self.best
+        return pa.RecordBatch.from_arrays([pa.array(self.node[q]), pa.array(score), pa.array(least), pa.array(node)], FOUND)
+
+
+FOUND = ["query", "score", "least", "node"]
 
 
 def search_strips(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(query, node, low, high) that a strip leaves of each block; rows are sorted by (size, i, j, side): the queries come first."""
+    """(query, score, least, node): the k best of a strip for each query; rows are sorted by (size, i, j, side): queries come first."""
     make_room()
     key, block, waiting = None, None, []
     for rows in batches:
-        at = 0
-        names = ("size", "i", "j", "side")
-        columns = [rows.column(c).to_numpy() for c in names]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], 0)) + 1 if rows.num_rows > 1 else []
-        for to in [*change, rows.num_rows] if rows.num_rows else []:
-            here, side = tuple(int(c[at]) for c in columns[:3]), columns[3][at]
-            part = rows.slice(at, to - at)
+        if not rows.num_rows:
+            continue
+        columns = [rows.column(c).to_numpy() for c in ("size", "i", "j", "side")]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], 0)) + 1
+        for at, to in itertools.pairwise([0, *change.tolist(), rows.num_rows]):
+            here, part = tuple(int(c[at]) for c in columns[:3]), rows.slice(at, to - at)
             if here != key:
-                if block is not None and block.held:
+                if block:
                     yield block.batch()
                 key, block, waiting = here, None, []
-            if side == 0:
+            if columns[3][at] == 0:
                 waiting.append(part)
             elif waiting:  # else no query was dealt to this block
                 block = block or Block(pa.Table.from_batches(waiting).combine_chunks(), k)
                 width = max(64, TILE // len(block.node))
                 for first in range(0, part.num_rows, width):
-                    tile = part.slice(first, width)
-                    block.tile(tile.column("node").to_numpy(), codes_of(tile.column("code"), block.size), *(tile.column(c).to_numpy() for c in ("step", "length", "error")))
-                    if block.n_held > block.most:  # bounds too wide to exclude more
-                        yield block.batch()
-            at = to
-    if block is not None and block.held:
+                    block.tile(part.slice(first, width))
+    if block:
         yield block.batch()
 
 
-def cut_again(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Of sorted (query, node, low, high) of all strips, (query, node) that may be among the k best."""
-    for part in sorted_groups(batches, ["query"]):
-        low, high = part.column("low").to_numpy(), part.column("high").to_numpy()
-        least = np.partition(low, len(low) - k)[-k] if len(low) > k else -np.inf
-        yield part.select(["query", "node"]).filter(pa.array(high >= least)).combine_chunks().to_batches()[0]
-
-
-def in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of rows in double precision, summed from the first component to the last."""
-    total = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        total += x[:, j] * y[:, j]
-    return total
-
-
-def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in by_length(batch):
-            score = in_order(matrix(part.column("x")), matrix(part.column("y")))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("query", "node", "ids")), pa.array(score)], ["query", "node", "ids", "score"])
-
-
 def merged(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(query, near): of sorted (query, node, ids, score) the k first entries (id, node, score) of the heaps' merge, by score and id."""
-    kind = None
+    """(query, score, node): of the rows of all strips, sorted by query, the k first of a heap by score and least id."""
     for part in sorted_groups(batches, ["query"]):
-        kind = kind or pa.list_(pa.struct([("id", part.schema.field("ids").type.value_type), ("node", pa.int64()), ("score", pa.float64())]))
-        rows = zip(*(part.column(c).to_pylist() for c in ("node", "ids", "score")), strict=True)
-        heaps = [[(-score, i, node) for i in ids] for node, ids, score in rows]  # each ascends
-        best = [{"id": i, "node": node, "score": -score} for score, i, node in itertools.islice(heapq.merge(*heaps), k)]
-        yield pa.RecordBatch.from_arrays([part.column("query").slice(0, 1).combine_chunks(), pa.array([best], kind)], ["query", "near"])
+        score, least, node = (part.column(c).to_numpy() for c in FOUND[1:])
+        best = heapq.nsmallest(k, zip((-score).tolist(), least.tolist(), node.tolist(), strict=True))
+        yield pa.RecordBatch.from_arrays([part.column("query").slice(0, len(best)).combine_chunks(), pa.array([-s for s, _, _ in best]), pa.array([n for _, _, n in best])], ["query", "score", "node"])
 
 
 def nodes_of(rows: DataFrame, most: int) -> DataFrame:
@@ -196,13 +183,16 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     """(query_id, rank, ``id_col``, score): the ``k`` rows with the largest inner product for each row whose id is divisible by ``every``."""
     bound_batches(table.sparkSession)
     tables = Tables()
-    rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("id is not null")
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id is not null")
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     rows = tables.write(rows.where(finite & F.exists("vector", lambda v: v != 0)).withColumn("node", F.xxhash64("vector")), "rows")
     queries = tables.write(rows.where(F.col("id") % every == 0).select("id", "node").distinct(), "queries")
     nodes = tables.write(nodes_of(rows, k + 1), "nodes")
 
-    codes = tables.write(nodes.select("node", F.size("vector").alias("size"), "vector").mapInArrow(quantised, "node long, size int, code binary, step double, length double, error double"), "codes")
+    vectors = nodes.select("node", F.size("vector").alias("size"), F.col("ids")[0].alias("least"), "vector")
+    own_kind = table.schema[vector_col].dataType.simpleString()
+    codes = vectors.mapInArrow(quantised, f"node long, size int, least long, vector {own_kind}, code binary, step double, length double, error double")
+    codes = tables.write(codes, "codes")
     wanted = tables.write(codes.join(queries.select("node").distinct(), "node", "left_semi"), "wanted")
     # a row for each length of vectors
     n = F.count("*")
@@ -211,19 +201,16 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     shape = small(tables.write(codes.groupBy("size").agg(strips).join(wanted.groupBy("size").agg(blocks), "size"), "shape"))
     own = lambda c: F.pmod(F.xxhash64("node", F.lit("block")), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    names = ["size", "i", "j", "side", "node", "code", "step", "length", "error"]
+    names = ["i", "j", "side", *ROW]
     left = wanted.join(shape, "size").withColumns({"i": own("blocks"), "side": F.lit(0)}).withColumn("j", each("strips"))
     right = codes.join(shape, "size").withColumns({"j": own("strips"), "side": F.lit(1)}).withColumn("i", each("blocks"))
     tiles = left.select(*names).union(right.select(*names)).repartition("size", "i", "j").sortWithinPartitions("size", "i", "j", "side")
-    left_over = tables.write(tiles.mapInArrow(lambda b: search_strips(b, k + 1), "query long, node long, low double, high double"), "strips")
-
-    pairs = left_over.repartition("query").sortWithinPartitions("query").mapInArrow(lambda b: cut_again(b, k + 1), "query long, node long")
-    kind = rows.schema["id"].dataType.simpleString()
-    x = nodes.select(F.col("node").alias("query"), F.col("vector").alias("x"), F.size("vector").alias("size"))
-    y = nodes.select("node", "ids", F.col("vector").alias("y"))
-    found = pairs.join(y, "node").join(x, "query").mapInArrow(scored, f"query long, node long, ids array<{kind}>, score double")
-    best = found.repartition("query").sortWithinPartitions("query").mapInArrow(lambda b: merged(b, k + 1), f"query long, near array<struct<id: {kind}, node: long, score: double>>")
-    best = tables.write(best.select(F.col("query").alias("node"), "near"), "best")
+    found = tables.write(tiles.mapInArrow(lambda b: search_strips(b, k + 1), "query long, score double, least long, node long"), "strips")
+
+    best = found.repartition("query").sortWithinPartitions("query").mapInArrow(lambda b: merged(b, k + 1), "query long, score double, node long")
+    entries = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("minus"), i.alias("id"), F.col("node").alias("node")))
+    best = best.join(nodes.select("node", "ids"), "node").select("query", entries.alias("near")).groupBy("query").agg(F.flatten(F.collect_list("near")).alias("near"))
+    best = best.select(F.col("query").alias("node"), F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
     out = queries.join(best, "node").select("id", F.slice(F.expr("filter(near, p -> p.id <> id or p.node <> node)"), 1, k).alias("near"))
     out = out.select(F.col("id").alias("query_id"), F.posexplode("near").alias("at", "p"))
-    return tables.result(out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("p.id").alias(id_col), F.col("p.score").alias("score")), "nearest")
+    return tables.result(out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("p.id").alias(id_col), (-F.col("p.minus")).alias("score")), "nearest")
