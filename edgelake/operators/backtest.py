@@ -1,9 +1,8 @@
 """Event-driven backtest of the trigger rules with synthetic option premiums, and its scorecard.
 
 One trade may be open per instrument and direction, and MAX_POSITIONS at a time; capital never decides on an entry. With no more
-pairs than positions each pair is a walk of its own. With more, walks interact, but only while trades may be open: the
-time line is cut on days that no candidate trade spans, and the stretches between are walked in parallel. Compounding is
-an ordered product afterwards.
+pairs than positions each pair is a walk of its own. With more, walks interact, and spans of days are walked in parallel until
+each has started from what its predecessor leaves (operators/positions.py). Compounding is an ordered product afterwards.
 """
 
 from __future__ import annotations
@@ -16,8 +15,10 @@ from pyspark.sql import functions as F
 from edgelake.constants import CAPITAL, MAX_POSITION_SHARE, MAX_POSITIONS, OPTION_STOP
 from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, strike_step
 from edgelake.functions.stats import profit_factor, sharpe, win_rate
+from edgelake.operators import positions
 from edgelake.operators.asof import asof
 from edgelake.operators.features import synthetic_iv
+from edgelake.operators.positions import NEVER
 from edgelake.operators.triggers import backtest_triggers
 
 HOLDING = {"SEED-001": 5, "SEED-002": 2, "SEED-003": 5, "SEED-004": 10}
@@ -47,38 +48,26 @@ def candidates(features: DataFrame, days: DataFrame, steps: dict[str, float] | N
 
 def greedy(signals: DataFrame, days: DataFrame, pairs: int) -> DataFrame:
     """The trades taken, with their exit days. The first signal of a day wins its pair; a pair is free again on its exit day."""
-    alone = pairs <= MAX_POSITIONS
     # the first trading day on or after entry + holding period closes a trade
     exits = days.select(F.col("day").alias("exit_day"))
     first = W.partitionBy("instrument", "direction", "day").orderBy("seq")
     rows = signals.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").withColumn("due", F.expr("date_add(day, holding_period)"))
     rows = next_day(rows, exits)
+    if pairs > MAX_POSITIONS:
+        return positions.taken(rows)
     fields = rows.schema.fields
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["day", "instrument", "seq"])
-        open_until: dict = {}
-        keep = []
-        for pair, day, exit_day in zip(zip(pdf["instrument"], pdf["direction"], strict=True), pdf["day"], pdf["exit_day"], strict=True):
-            open_until = {k: v for k, v in open_until.items() if v is None or v > day}
-            take = pair not in open_until and len(open_until) < MAX_POSITIONS
+        pdf = pdf.sort_values("day")
+        free, keep = None, []
+        for day, exit_day in zip(pdf["day"], pdf["exit_day"], strict=True):
+            take = free is None or day >= free
             if take:
-                open_until[pair] = None if pd.isna(exit_day) else exit_day
+                free = NEVER if pd.isna(exit_day) else exit_day
             keep.append(take)
         return pdf[keep][[f.name for f in fields]]
 
-    keys = ["instrument", "direction"] if alone else ["_stretch"]
-    if not alone:
-        rows = rows.join(F.broadcast(stretches(rows)), "day")  # a row a day
-    return rows.groupBy(*keys).applyInPandas(work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
-
-
-def stretches(rows: DataFrame) -> DataFrame:
-    """(day, _stretch): days with candidates, cut where all candidate trades of earlier days are over. A date series goes through one task."""
-    by_day = rows.groupBy("day").agg(F.max(F.coalesce("exit_day", F.lit("9999-12-31").cast("date"))).alias("_until"))
-    before = F.max("_until").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1))
-    new = F.coalesce(before <= F.col("day"), F.lit(True)).cast("int")
-    return by_day.withColumn("_new", new).select("day", F.sum("_new").over(W.orderBy("day")).alias("_stretch"))
+    return rows.groupBy("instrument", "direction").applyInPandas(work, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
 
 
 def next_day(rows: DataFrame, days: DataFrame) -> DataFrame:

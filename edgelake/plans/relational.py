@@ -277,6 +277,33 @@ register("k03_top_abs", lambda s, d: FE(s, d).orderBy(F.desc(F.abs("z_21d")), "i
 register("k04_tail", lambda s, d: H(s, d).orderBy(F.desc("date")).limit(5).select("date", "regime_state"), fx.sql("select date, regime_state from history order by date desc limit 5"))
 register("k05_argmax", lambda s, d: H(s, d).select("date", F.array_position(F.array(*(F.col(f"prob_{k}") for k in fx.STATES)), F.col("regime_confidence")).alias("state")), fx.sql("select date, list_position([" + ", ".join(f"prob_{k}" for k in fx.STATES) + "], regime_confidence) state from history"))
 
+
+
+def capped(s, d):
+    """Orders as candidate trades of 30 instruments in two directions."""
+    rows = fx.table(s, d, "orders").select(
+        F.format_string("I%02d", F.col("o_custkey") % 30).alias("instrument"), F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), F.to_date("o_orderdate").alias("day"),
+        F.col("o_orderkey").alias("seq"), F.element_at(F.array(*map(F.lit, (2, 5, 10, 15))), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("holding_period"),
+    )
+    return backtest.greedy(rows, rows.select("day").distinct(), 60).select("instrument", "direction", "day", "seq", "exit_day")
+
+
+register(
+    "k06_position_cap",
+    capped,
+    # one candidate after another, with the list of open trades
+    """with recursive o as (select 'I'||lpad((o_custkey%30)::varchar,2,'0') instrument, case when o_orderkey%2=0 then 'LONG' else 'SHORT' end direction, o_orderdate::date as day, o_orderkey seq, [2,5,10,15][o_orderkey%4+1]::int hold from orders),
+    days as (select distinct day as d from o),
+    e as (select o.*, x.d exit_day from o asof left join days x on o.day+o.hold<=x.d),
+    c as materialized (select *, row_number() over (order by day, instrument, seq) n from (select * from e qualify row_number() over (partition by instrument, direction, day order by seq)=1)),
+    walk(n, held, taken) as (select 0::bigint, []::struct(p varchar, e date)[], false
+      union all
+      select n, case when ok then list_append(still, {'p': pair, 'e': coalesce(exit_day, date '9999-12-31')}) else still end, ok
+      from (select *, len(still)<8 and len(list_filter(still, lambda x: x.p=pair))=0 ok
+        from (select c.n, c.exit_day, c.instrument||c.direction pair, list_filter(walk.held, lambda x: x.e>c.day) still from walk join c on c.n=walk.n+1)))
+    select instrument, direction, day, seq, exit_day from c join walk using (n) where taken""",
+)
+
 # sets
 register("u01_union_all", lambda s, d: H(s, d).where(F.col("date") <= cast(fx.TRAIN_END)).select("date", F.lit("IS").alias("segment")).unionByName(H(s, d).where(F.col("date") > cast(fx.TRAIN_END)).select("date", F.lit("OOS").alias("segment"))), fx.sql(f"select date, case when date<=date '{fx.TRAIN_END}' then 'IS' else 'OOS' end segment from history"))
 register("u03_except", lambda s, d: S(s, d).select("event_id").join(S(s, d).where("holding_period = 2").select("event_id"), "event_id", "left_anti"), fx.sql("select event_id from signals where holding_period<>2"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, normal_cdf
 from edgelake.functions.stats import profit_factor, sharpe, student_p
-from edgelake.operators import asof, backtest, gate, learn, ledger, regime
+from edgelake.operators import asof, backtest, gate, learn, ledger, positions, regime
 from edgelake.operators.features import features, with_features
 from edgelake.plans import fixtures as fx
 from edgelake.sources import bars as source
@@ -175,6 +175,31 @@ def test_backtest_walks_decompose(spark):
         assert sorted((r["instrument"], r["direction"], r["day"], r["exit_day"], r["seq"]) for r in got) == naive_walk(signals, days)
 
 
+@pytest.mark.parametrize("density", [0.004, 0.2])
+def test_position_limit_of_many_pairs(spark, density):
+    """60 instruments with and without room: spans walked in parallel give the serial walk, and none holds much of the candidates."""
+    rng = random.Random(6)
+    days = [DAY + dt.timedelta(days=i) for i in range(2500) if rng.random() < 0.7]
+    signals = [(d, f"I{i:02d}", s, 0, rng.choice([2, 5, 10, 15])) for d in days for i in range(60) for s in ("LONG", "SHORT") if rng.random() < density]
+    rows = spark.createDataFrame([(i, s, d, q, h) for d, i, s, q, h in signals], "instrument string, direction string, day date, seq int, holding_period int")
+    table = spark.createDataFrame([(d,) for d in days], "day date")
+    got = backtest.greedy(rows, table, 120).where("exit_day is not null").collect()
+    assert sorted((r["instrument"], r["direction"], r["day"], r["exit_day"], r["seq"]) for r in got) == naive_walk(signals, days)
+    able = positions.enterable(rows, 8)
+    by_span = [r["count"] for r in able.groupBy(F.floor(F.unix_date("day") / positions.SPAN)).count().collect()]
+    assert max(by_span) <= sum(by_span) / 10 and max(r["count"] for r in able.groupBy("day").count().collect()) <= 16
+
+
+def test_position_limit_over_gaps_and_open_ends(spark):
+    """Trades that never close block their pairs over spans without candidates; an empty table has no trades."""
+    kind = "instrument string, direction string, day date, seq int, exit_day date"
+    far = DAY + dt.timedelta(days=2000)
+    rows = [(f"I{i}", "LONG", DAY, i, None) for i in range(7)] + [("I0", "LONG", far, 1, None), ("J0", "LONG", far, 2, far + dt.timedelta(days=3)), ("J1", "LONG", far, 3, None), ("J0", "SHORT", far, 4, None)]
+    got = {(r["instrument"], r["direction"], r["seq"]) for r in positions.taken(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(f"I{i}", "LONG", i) for i in range(7)} | {("J0", "LONG", 2)}
+    assert positions.taken(spark.createDataFrame([], kind)).count() == 0
+
+
 def test_ledger_first_writer_wins_and_update(spark):
     table = spark.createDataFrame([("a", 1)], "k string, v int")
     rows = spark.createDataFrame([("a", 9), ("b", 3), ("b", 2)], "k string, v int")
