@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from edgelake.constants import BULL
 from edgelake.functions.stats import floored, profit_factor, sharpe, t_statistic, win_rate
-from edgelake.operators import asof, backtest, gate, ledger, learn, regime
+from edgelake.operators import asof, backtest, gate, ledger, learn, regime, scan
 from edgelake.operators.features import features
 from edgelake.plans import fixtures as fx
 from edgelake.plans.registry import r, register
@@ -127,6 +127,20 @@ def asof_query(s, d):
 register("j05_asof", asof_query, fx.sql("select l.signal_id, l.underlying instrument, l.signal_date date, f.close from ledger l asof left join feat f on l.underlying=f.instrument and l.signal_date>=f.date where l.underlying in ('A','N','R')"))
 
 
+def asof_one_series(s, d):
+    """Every line with the order before its shipment, over all lines and orders as a single series."""
+    lines = fx.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.unix_date(F.to_date("l_shipdate")).alias("day"))
+    days = fx.table(s, d, "orders").groupBy(F.unix_date(F.to_date("o_orderdate")).alias("day")).agg(F.max("o_orderkey").alias("last_order"), F.count("*").alias("orders"))
+    return scan.asof(lines, days, "day", [], ["last_order", "orders"], scan.by_rows(lines, "day", 4096))
+
+
+register(
+    "j05_asof_one_series",
+    asof_one_series,
+    "select l_orderkey, l_linenumber, l.day as day, last_order, orders from (select *, l_shipdate::date-date '1970-01-01' as day from lineitem) l asof left join (select o_orderdate::date-date '1970-01-01' as day, max(o_orderkey) last_order, count(*) orders from orders group by 1) o on l.day>=o.day",
+)
+
+
 def grid_asof(s, d):
     days = H(s, d).where(F.weekday("date") < 5).select("date")
     grid = days.crossJoin(F.broadcast(s.createDataFrame([("A",), ("N",), ("R",)], "instrument string")))

@@ -6,10 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgelake.functions.windows import by_instrument, log_return
-from edgelake.operators import backtest, regime
+from edgelake.operators import backtest, regime, scan
 from edgelake.operators.features import features, synthetic_iv, with_features
 from edgelake.plans import fixtures as fx
-from edgelake.plans.registry import r, register
+from edgelake.plans.registry import SQL, r, register
 
 ALL = "ret_1d mom_5d mom_10d mom_20d mom_60d vol_5d vol_20d vol_ratio_vols z_21d rsi_2 rsi_14 rolling_max_252 rolling_min_252 pct_from_hi pct_from_lo ret_zscore ret_skew_20 gap_pct close"
 KEY = "instrument, date"
@@ -103,3 +103,33 @@ register(
     lambda s, d: fx.signals(s, d).withColumn("n", F.row_number().over(W.partitionBy("day", "edge_id").orderBy(F.desc("event_id")))).where("n = 1").select("day", "edge_id", "event_id"),
     fx.sql("select day, edge_id, max(event_id) event_id from signals group by 1,2"),
 )
+
+
+# the same in blocks, for series that no task can sort alone
+def equity_in_blocks(s, d):
+    daily = backtest.daily_returns(fx.trades(s, d))
+    return scan.equity(daily, scan.by_rows(daily, "date", 200)).select("date", F.ln("equity").alias("log_equity"), "drawdown")
+
+
+register("w19_drawdown_in_blocks", equity_in_blocks, fx.sql("select date, round(ln(equity),6) log_equity, round((equity-peak)/peak,6) drawdown from dd", **DAILY))
+
+
+def regime_runs(s, d):
+    history = fx.history(s, d)
+    return scan.runs(history, [], "date", "regime_state", scan.by_width(history, "date", 90)).withColumnRenamed("n", "days")
+
+
+register("w20_regime_runs_in_blocks", regime_runs, SQL["w20_regime_blocks"])
+
+
+def runs_of_all_events(s, d):
+    """Runs of one event type over all events as a single series."""
+    events = fx.table(s, d, "events").select("event_id", "event_type")
+    return scan.runs(events, [], "event_id", "event_type", scan.by_rows(events, "event_id", 4096))
+
+
+register(
+    "w20_runs_of_one_series",
+    runs_of_all_events,
+    'select event_type, min(event_id) "start", max(event_id) "end", count(*) n from (select *, row_number() over (order by event_id)-row_number() over (partition by event_type order by event_id) g from events) group by event_type, g',
+)

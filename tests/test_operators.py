@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, normal_cdf
 from edgelake.functions.stats import profit_factor, sharpe, student_p
-from edgelake.operators import asof, backtest, gate, learn, ledger, positions, regime
+from edgelake.operators import asof, backtest, gate, learn, ledger, positions, regime, scan
 from edgelake.operators.features import features, with_features
 from edgelake.plans import fixtures as fx
 from edgelake.sources import bars as source
@@ -109,6 +109,46 @@ def test_asof_never_looks_ahead(spark):
     assert got == {10: None, 11: 3.0, 12: None, 13: 3.0}
 
 
+def test_scans_in_blocks_equal_windows(spark):
+    """Running values over random keys and blocks, with nulls in values and keys, are those of one window."""
+    rng = random.Random(9)
+    rows = [(rng.choice(["A", "A", "A", "B", None]), i, rng.choice([None, *range(-3, 4)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t int, x int")
+    values = {"s": scan.total(F.col("x")), "n": scan.count(F.col("x")), "hi": scan.highest(F.col("x")), "lo": scan.lowest(F.col("x")), "z": scan.last(F.col("x"), [F.col("t")]), "p": scan.product(F.abs("x") + 1.0)}
+    want = {}
+    for key in ("A", "B", None):
+        s = n = 0
+        hi = lo = z = p = None
+        for _, t, x in (r for r in rows if r[0] == key):
+            if x is not None:
+                s, n, hi, lo, z, p = s + x, n + 1, max(x, x if hi is None else hi), min(x, x if lo is None else lo), x, (p or 1.0) * (abs(x) + 1)
+            want[key, t] = (s if n else None, n, hi, lo, z, p)
+    for block in (scan.by_width(df, "t", 7), scan.by_rows(df, "t", 50), F.lit(0)):
+        got = {(r["k"], r["t"]): r for r in scan.running(df, ["k"], ["t"], block, values).collect()}
+        assert len(got) == len(rows)
+        for k, w in want.items():
+            assert tuple(got[k])[3:8] == w[:5] and (got[k]["p"] is None) == (w[5] is None) and (w[5] is None or got[k]["p"] == pytest.approx(w[5]))
+    assert scan.running(df.where("false"), ["k"], ["t"], scan.by_rows(df.where("false"), "t"), values).count() == 0
+
+
+def test_asof_in_blocks_equals_asof(spark):
+    rng = random.Random(10)
+    left = spark.createDataFrame([(rng.choice(["A", "B", None]), rng.randrange(300), i) for i in range(300)], "instrument string, date int, id int")
+    right = spark.createDataFrame([(rng.choice(["A", "B"]), d, rng.choice([None, float(d)])) for d in range(0, 300, 3)], "instrument string, date int, v double")
+    plain = sorted(map(tuple, asof.asof(left, right, "date", ["instrument"], ["v"]).collect()), key=str)
+    for block in (scan.by_width(left, "date", 10), scan.by_rows(left, "date", 20)):
+        assert sorted(map(tuple, scan.asof(left, right, "date", ["instrument"], ["v"], block).collect()), key=str) == plain
+
+
+def test_one_long_series_is_spread(spark):
+    """A million rows of one key: no block, so no task, holds more than a few hundredths of them."""
+    df = spark.range(1_000_000).select(F.lit("A").alias("k"), F.col("id").alias("t"))
+    block = scan.by_rows(df, "t", 20_000)
+    assert df.groupBy(block).count().agg(F.max("count")).first()[0] < 40_000
+    rows = scan.running(df, ["k"], ["t"], block, {"s": scan.total(F.col("t"))})
+    assert rows.where(F.col("s") != F.col("t") * (F.col("t") + 1) / 2).count() == 0 and rows.count() == 1_000_000
+
+
 def signal(**changes):
     base = {"underlying": "NIFTY", "instrument_class": "INDEX_OPTIONS", "direction": "LONG", "holding_period": 5, "lot_value": 75000.0, "margin_per_lot": 50000.0, "oi_lots": 500, "bid_ask_spread_pct": 0.02, "daily_volume_lots": 2000}
     return base | {"transition_warning_flag": False, "edge_id": "SEED-001", "trigger_value": -2.5} | changes
