@@ -13,7 +13,7 @@ from edgelake.plans import fixtures as fx
 from edgelake.plans.registry import r, register
 from edgelake.plans.relational import X, replay
 from edgelake.sources import bars as source
-from edgelake.streaming import live
+from edgelake.streaming import live, state
 
 B, FE, T, S, H = fx.bars, (lambda s, d: features(fx.bars(s, d))), fx.trades, fx.signals, fx.history
 GRID = "select event_id, value/25-2 x, 80+value s, 100.0 k, (event_id%4)*5/252.0 t, case when event_id%7=0 then 0.0 else 0.1+(event_id%5)*0.1 end v, case when event_id%2=0 then 'call' else 'put' end kind from events"
@@ -317,6 +317,20 @@ register(
         t="select edge_id, holding_period, count(*) filter (net_return_pct>40) w, count(*) n from trades group by 1,2",
     ),
 )
+
+
+def book_events(s, d):
+    """Signals of 16 portfolios; every fifth event closes an earlier trade of its portfolio, and some end the day."""
+    i = F.col("event_id")
+    rows = S(s, d).withColumns({
+        "portfolio": F.concat(F.lit("P"), (i % 16).cast("string")), "seq": i, "kind": F.when(i % 211 == 0, "reset").when(i % 5 == 4, "close").otherwise("signal"),
+        "trade_id": F.concat(F.lit("T"), F.when(i % 5 == 4, i - 48).otherwise(i).cast("string")), "lot_value": F.col("lot_value") * 2, "margin_per_lot": F.col("margin_per_lot") / 2,
+        "liquidity": gate.liquidity_reason(F.col("instrument_class"), F.col("oi_lots"), F.col("bid_ask_spread_pct"), F.col("daily_volume_lots")), "pnl": F.when(i % 5 == 4, F.round(F.col("trigger_value") * 1000, 2)),
+    })
+    return rows.select(*(c.split()[0] for c in state.EVENT.split(", ")))
+
+
+register("t06_books", lambda s, d: state.book_replay(book_events(s, d)))
 register("d32_bandit_cold", lambda s, d: S(s, d).select("event_id", gate.bandit_cold(F.col("edge_win_rate") + F.col("confidence") / 5).alias("action")), fx.sql("select event_id, case when edge_win_rate+confidence/5>0.65 then 'MEDIUM' when edge_win_rate+confidence/5>0.58 then 'SMALL' else 'SKIP' end as action from signals"))
 register("d32_bandit_warm", lambda s, d: learn.bandit_choose(replay(s, d).select("event_id", "context"), learn.bandit_sums(replay(s, d))).select("event_id", "bandit_action"))
 register("d33_context", lambda s, d: replay(s, d).select("event_id", F.posexplode("context").alias("i", "x")), fx.sql(f"select event_id, i-1 i, round(x[i],6) x from (select event_id, cast({X} as double[]) x from signals), generate_series(1,10) g(i)"))

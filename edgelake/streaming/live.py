@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from edgelake.operators import gate, ledger
+from edgelake.sources import snapshots
 
 EVERY = "300 seconds"
 
@@ -52,6 +53,59 @@ def isolated(step: Step, failed: Callable[[DataFrame], None]) -> Step:
     return run
 
 
+LETTER = {"_batch": "bigint", "_error": "string", "_message": "string"}
+
+
+def quarantined(step: Step, path: str) -> Step:
+    """A step whose failing batches are kept, all their rows with the batch's number and error, in a folder each, while the stream goes on.
+
+    A batch that fails again replaces its folder, so a restart leaves one copy. If the rows can't be kept the stream stops.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        try:
+            step(batch, number)
+        except Exception as error:  # noqa: BLE001  whatever fails in a batch must not end the loop
+            what = {"_batch": F.lit(number).cast("bigint"), "_error": F.lit(type(error).__name__), "_message": F.lit(str(error)[:1000])}
+            batch.withColumns(what).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    return run
+
+
+def dead_letters(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches in quarantine, ascending."""
+    return sorted(int(n[6:]) for n in snapshots.listed(spark, path) if n.startswith("batch-"))
+
+
+def replay(spark: SparkSession, path: str, step: Step) -> list[int]:
+    """Run a step over the batches in quarantine, each under its own number, oldest first, and release those that succeed.
+
+    A crash after a step and before the release repeats the batch, so steps should know numbers that they have taken, as
+    snapshots.upsert() does. Returns the numbers that were released.
+    """
+    released = []
+    for number in dead_letters(spark, path):
+        rows = spark.read.parquet(f"{path}/batch-{number}")
+        step(rows.drop(*LETTER), number)
+        fs, p = snapshots.file_system(spark, f"{path}/batch-{number}")
+        fs.delete(p, True)
+        released.append(number)
+    return released
+
+
+def upsert_versions(bars: DataFrame, path: str, checkpoint: str, keys: list[str], by: str, order: str | None = None, quarantine: str | None = None, once: bool = True):
+    """Merge every micro-batch into a table of atomic versions, once each however often it is run; batches that fail go to ``quarantine``."""
+    step = version_step(path, keys, by, order)
+    return start(bars, quarantined(step, quarantine) if quarantine else step, checkpoint, once)
+
+
+def version_step(path: str, keys: list[str], by: str, order: str | None = None, stream: str = "bars") -> Step:
+    def step(batch: DataFrame, number: int) -> None:
+        snapshots.upsert(path, batch, keys, by, order, stream, number)
+
+    return step
+
+
 def once_a_day(tasks: list[tuple[str, str, Step]], done: Callable[[], DataFrame], mark: Callable[[DataFrame], None], zone: str = "Asia/Kolkata") -> Step:
     """A step that runs each task (name, HH:MM, step) in the first batch whose newest ``ts`` is at or past its local time, once a day.
 
