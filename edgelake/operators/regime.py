@@ -111,8 +111,8 @@ def forward_backward(density: np.ndarray, start: np.ndarray, moves: np.ndarray)
     return a, b, float(log_sum(a[-1], 0))
 
 
-def fit_hmm(x: np.ndarray, states: int = 5, most: int = 2_000, tolerance: float = 1e-4, seed: int = 42) -> Hmm:
-    """Baum-Welch in log space from a k-means start; states are ordered by ascending mean of the first column."""
+def first_hmm(x: np.ndarray, states: int = 5, seed: int = 42) -> Hmm:
+    """Where EM starts: k-means centres, one covariance, and states that mostly stay."""
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), states, replace=False)]
     for _ in range(50):
@@ -120,8 +120,15 @@ def fit_hmm(x: np.ndarray, states: int = 5, most: int = 2_000, tolerance: float
         centres = np.stack([x[near == k].mean(0) if (near == k).any() else centres[k] for k in range(states)])
     ridge = 1e-3 * np.eye(x.shape[1])
     means, covariances = centres, np.stack([np.cov(x.T, bias=True) + ridge] * states)
-    start, moves, history = np.full(states, 1 / states), np.full((states, states), 0.1 / (states - 1)), []
+    moves = np.full((states, states), 0.1 / (states - 1))
     np.fill_diagonal(moves, 0.9)
+    return Hmm(np.full(states, 1 / states), moves, means, covariances, [])
+
+
+def fit_hmm(x: np.ndarray, states: int = 5, most: int = 2_000, tolerance: float = 1e-4, seed: int = 42) -> Hmm:
+    """Baum-Welch in log space from a k-means start; states are ordered by ascending mean of the first column."""
+    first, ridge = first_hmm(x, states, seed), 1e-3 * np.eye(x.shape[1])
+    start, moves, means, covariances, history = first.start, first.moves, first.means, first.covariances, []
     for _ in range(most):
         density = log_density(x, means, covariances)
         a, b, total = forward_backward(density, start, moves)

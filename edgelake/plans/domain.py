@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from edgelake import schema
 from edgelake.constants import EDGES
 from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, normal_cdf, normal_pdf, strike_step
-from edgelake.operators import backtest, gate, learn, ledger, regime, revalidate, triggers
+from edgelake.operators import backtest, gate, learn, ledger, markov, regime, revalidate, triggers
 from edgelake.operators.features import features, synthetic_iv
 from edgelake.plans import fixtures as fx
 from edgelake.plans.registry import r, register
@@ -220,6 +221,37 @@ register("d12_backtest", lambda s, d: backtest.run(FE(s, d), H(s, d), *fx.TEST,
 register("d12_capital", lambda s, d: backtest.run(FE(s, d), H(s, d), *fx.TEST, fx.STEPS).agg(F.count("*").alias("n"), F.ln(backtest.compounded(F.col("net_return_pct"))).alias("log_capital")), fx.sql("select count(*) n, round(ln(1350000.0)+coalesce(sum(ln(1+0.07*net_return_pct/100)),0),6) log_capital from tr", **IV, **BT, **WALK))
 
 register("d13_hidden_markov", lambda s, d: regime.classify(regime.market_inputs(fx.market(s, d)), fx.TRAIN_END))
+STAY = 0.9
+N_STATES = len(fx.STATES)
+
+
+def decoded(s, d):
+    """Filtered and Viterbi states of a Markov model with fixed states, in chunks of the series."""
+    rows = regime.standardized(regime.market_inputs(fx.market(s, d)), fx.TRAIN_END).withColumn("series", F.lit("A"))
+    chunks = markov.chunked(rows, "series", "date", regime.INPUTS, 128, 500)
+    moves = np.full((N_STATES, N_STATES), (1 - STAY) / (N_STATES - 1))
+    np.fill_diagonal(moves, STAY)
+    model = regime.Hmm(np.full(N_STATES, 1 / N_STATES), moves, np.array(list(fx.STATES.values())), np.stack([np.eye(3)] * N_STATES), [])
+    return markov.decode(chunks, model, smoothed=False).select(F.col("order").alias("date"), "state", *(F.col("probs")[i].alias(f"prob_{k}") for i, k in enumerate(fx.STATES)))
+
+
+def decoded_sql() -> str:
+    """The recursions a row at a time: distributions p, best scores v with the state k they came from, then the way back."""
+    at = range(N_STATES)
+    move = lambda i, j: STAY if i == j else (1 - STAY) / (N_STATES - 1)
+    every = lambda f, sep=", ": sep.join(f(j) for j in at)
+    return fx.sql(
+        f"select o.date, bk.s::int state, {', '.join(f'round(p{j},6) prob_{k}' for j, k in enumerate(fx.STATES))} from fw join bk using (n) join obs o using (n)",
+        o1="select row_number() over (order by date) n, date, " + ", ".join(f"-0.5*((log_ret-({a}))^2+(vol_5d-({b}))^2+(vix-({c}))^2)-1.5*ln(2*pi()) l{j}" for j, (a, b, c) in enumerate(fx.STATES.values())) + " from std",
+        obs=f"select *, greatest({every(lambda j: f'l{j}')}) top from o1",
+        fw=f"select n, {every(lambda j: f'exp(l{j}-top)/(' + every(lambda i: f'exp(l{i}-top)', '+') + f') p{j}')}, {every(lambda j: f'l{j}+ln({1 / N_STATES}) v{j}')}, {every(lambda j: f'0::bigint k{j}')} from obs where n=1 union all "
+        f"select n, {every(lambda j: f'q{j}/(' + every(lambda i: f'q{i}', '+') + ')')}, {every(lambda j: f'list_max(w{j})+l{j}')}, {every(lambda j: f'list_position(w{j}, list_max(w{j}))-1')} from ("
+        f"select o.*, {every(lambda j: '(' + every(lambda i: f'p{i}*{move(i, j)}', '+') + f')*exp(l{j}-top) q{j}')}, {every(lambda j: '[' + every(lambda i: f'v{i}+ln({move(i, j)})') + f'] w{j}')} from fw join obs o on o.n=fw.n+1)",
+        bk=f"select n, s from (select n, list_position([{every(lambda j: f'v{j}')}], greatest({every(lambda j: f'v{j}')}))-1 s from fw order by n desc limit 1) union all select fw.n-1, [{every(lambda j: f'k{j}')}][s+1] from bk join fw on fw.n=bk.n where fw.n>1",
+    )
+
+
+register("d13_decode_in_chunks", decoded, decoded_sql())
 register(
     "d14_states_by_mean",
     lambda s, d: regime.named_by_mean(T(s, d).withColumn("state", F.col("holding_period") % 7), "state", "net_return_pct"),

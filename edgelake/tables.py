@@ -39,3 +39,14 @@ def drop_table(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of an Arrow batch that is handed to Python.
+BATCH_BYTES = 1 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand rows to Python in batches of a few MB, unless the session sets its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, normal_cdf
 from edgelake.functions.stats import profit_factor, sharpe, student_p
-from edgelake.operators import asof, backtest, gate, learn, ledger, positions, regime, scan
+from edgelake.operators import asof, backtest, gate, learn, ledger, markov, positions, regime, scan
 from edgelake.operators.features import features, with_features
 from edgelake.plans import fixtures as fx
 from edgelake.sources import bars as source
@@ -262,6 +262,48 @@ def test_hidden_markov_model():
     assert np.allclose(regime.decode(x, model, smoothed=False)[1].sum(1), 1)
 
 
+def series_of(rng, n):
+    state = np.cumsum(rng.random(n) < 0.03) % 3
+    return rng.standard_normal((n, 2)) * [0.5, 1] + np.stack([state * 2.0 - 2, (state == 1) * 3.0], 1)
+
+
+def in_chunks(spark, series, length):
+    rows = [(k, i, *map(float, r)) for k, x in series.items() for i, r in enumerate(x)] + [("A", 10_000, None, 1.0)]
+    df = spark.createDataFrame(rows, "series string, t int, a double, b double").repartition(4)
+    return markov.chunked(df, "series", "t", ["a", "b"], length, 300)
+
+
+def test_markov_model_in_chunks_equals_one_series(spark, monkeypatch):
+    monkeypatch.setattr(markov, "GROUP", 3)
+    x = series_of(np.random.default_rng(1), 1501)
+    chunks = in_chunks(spark, {"A": x}, 100)
+    assert chunks.count() == 16 and chunks.agg(F.max("size")).first()[0] == 100
+    first, plain = regime.first_hmm(x, 3), regime.fit_hmm(x, 3, 4)
+    model = markov.fit(chunks, first, 4)
+    for a, b in ((model.means, plain.means), (model.covariances, plain.covariances), (model.moves, plain.moves), (model.start, plain.start), (model.likelihoods, plain.likelihoods)):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+    for smoothed in (True, False):
+        states, probs = regime.decode(x, plain, smoothed)
+        rows = sorted(markov.decode(chunks, plain, smoothed).collect(), key=lambda r: r["order"])
+        assert [r["state"] for r in rows] == states.tolist() and np.allclose([r["probs"] for r in rows], probs, atol=1e-8)
+
+
+def test_markov_model_of_many_series(spark):
+    """Series of different lengths share a model: expected counts are the sums of each one's own."""
+    rng = np.random.default_rng(2)
+    series = {k: series_of(rng, n) for k, n in (("A", 130), ("B", 1), ("C", 64), ("D", 65))}
+    chunks, model = in_chunks(spark, series, 32), regime.first_hmm(series["A"], 3)
+    found, weight, likelihood, start = markov.expected(chunks, model), 0, 0.0, 0
+    decoded = {(r["series"], r["order"]): r["state"] for r in markov.decode(chunks, model).collect()}
+    for k, x in series.items():
+        a, b, total = regime.forward_backward(regime.log_density(x, model.means, model.covariances), model.start, model.moves)
+        posterior = np.exp(a + b - total)
+        weight, likelihood, start = weight + posterior.sum(0), likelihood + total, start + posterior[0]
+        assert [decoded[k, i] for i in range(len(x))] == regime.decode(x, model)[0].tolist()
+    assert np.allclose(found["weight"], weight) and np.isclose(found["likelihood"], likelihood) and np.allclose(found["start"], start)
+    assert len(decoded) == 260
+
+
 def test_bandit_equals_numpy(spark):
     rng = np.random.default_rng(1)
     rows = [(i, learn.ACTIONS[i % 4], float(rng.standard_normal()), rng.standard_normal(10).tolist()) for i in range(80)]
