@@ -7,7 +7,9 @@ with one hub, never with all others. The joint likelihood of a pair's registers,
 whose similarity is most likely far below the limit; the rest are compared as full sets. Buckets that then still hold
 more than one component get another hub, drawn at random from their largest one, for all sets outside it, ROUNDS times: work in
 proportion to their sets. What is left outside the largest component of a bucket is compared with it and with each other in blocks,
-so that no link is lost to the choice of hubs; members of the largest component are never compared with each other. Two
+so that no link is lost to the choice of hubs; members of the largest component are never compared with each other. Where more sets
+are left than the largest component holds, and more than a block, as of texts made from one template, a bucket is parted first: sets can only be linked if they share one
+of their rarest shingles, so many that the others are too few for a link, and those that do are a smaller bucket each. Two
 sets with a similarity of 0.85 share no bucket with probability below 1e-7 (0.8: 1e-5), and the likelihood drops such
 a pair with probability below 1e-5 (0.8: 1e-4).
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgelake.llm.arrays import chunks, gather, hash_spans, lower, make_room, mix, word_spans
@@ -194,16 +196,16 @@ def mixed_buckets(open_: DataFrame, labels: DataFrame, salt: int, tables: Tables
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """Members of buckets (key, main, inside, outside, label, node, …), dealt so that each pair of blocks is one group (key, i, j).
+    """Members of buckets (key, first, inside, outside, label, node, …), dealt so that each pair of blocks is one group (key, i, j).
 
-    Blocks of sets outside the largest component come first and meet all blocks; those of the largest one don't meet each other.
+    Blocks of members that are ``first`` (outside) come first and meet all blocks; those of the others (inside) don't meet each other.
     """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     out, total = blocks("outside"), blocks("outside") + blocks("inside")
-    own = F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("node", F.lit("block")), out)).otherwise(out + F.pmod(F.xxhash64("node", F.lit("block")), blocks("inside"))).cast("int")
+    own = F.when(F.col("first"), F.pmod(F.xxhash64("node", F.lit("block")), out)).otherwise(out + F.pmod(F.xxhash64("node", F.lit("block")), blocks("inside"))).cast("int")
     rows = members.withColumn("block", own)
     other = F.sequence(F.lit(0), F.when(F.col("block") < out, total).otherwise(out) - 1)
-    rows = rows.withColumn("_k", F.explode(other)).withColumns({"i": F.least("_k", "block"), "j": F.greatest("_k", "block")}).drop("_k", "main", "inside", "outside")
+    rows = rows.withColumn("_k", F.explode(other)).withColumns({"i": F.least("_k", "block"), "j": F.greatest("_k", "block")}).drop("_k", "first", "inside", "outside")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
@@ -211,18 +213,48 @@ def block_pairs(part: pa.Table, floor: float) -> Iterator[tuple[int, np.ndarray]
     """(row, rows): likely pairs across components of a group, each in the first band only that the two share."""
     label, n, side = (part.column(k).to_numpy() for k in ("label", "n", "block"))
     r = matrix(part.column("registers"))
-    bands = r.view("<u8")
+    bands = r.view("<u8")  # of a parted bucket none counts
     i, j, band = (part.column(k)[0].as_py() for k in ("i", "j", "band"))
     rows, columns = np.flatnonzero(side == i), np.flatnonzero(side == j)  # block j may be empty
     for a in rows:
         b = columns[(label[columns] != label[a]) & ((i != j) | (columns > a))]
         if len(b):
-            b = b[(bands[b] == bands[a]).argmax(1) == band]
+            b = b[(bands[b] == bands[a]).argmax(1) == band] if band >= 0 else b
             b = b[likely(r[[a]], r[b], n[a], n[b], floor)]
             if len(b):
                 yield int(a), b
 
 
+def parted(members: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, tables: Tables) -> DataFrame:
+    """Members (key, band, node, label, first, inside, outside) of buckets by rare shingles, in place of large buckets.
+
+    Shingles are ordered by the number of these nodes that hold them, then by hash; those of one node come first and make no
+    bucket. Of a linked pair the sets share at least c = percent % of the larger set, and c' = 2 percent / (100 + percent) of the
+    smaller one. So their first common shingle is one of the n - c + 1 first of the larger and of the n - c' + 1 first of the smaller.
+    A node meets all of a bucket (``first``) where its place is within the latter, else only those; or those outside the
+    bucket's largest component do, if they are fewer. Rows are as many as the nodes' shingles at most.
+    """
+    nodes = tables.write(members.select("node", "label").distinct(), "nodes")
+    wanted = tables.write(classes.join(nodes, "node").select("node", "label", "n", "id", "key"), "wanted")
+    sets = full_sets(docs, wanted.select("node", "id", "key"), id_col, text_col).dropDuplicates(["node"])
+    tokens = tables.write(sets.select("node", F.explode("shingles").alias("shingle")), "tokens")
+    held = tokens.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    some = tokens.join(held, "shingle").join(wanted.select("node", "label", "n"), "node")
+    own = Window.partitionBy("node")
+    some = some.withColumns({"rank": F.row_number().over(own.orderBy("held", "shingle")), "many": F.count("*").over(own)})
+    place, n = F.col("n") - F.col("many") + F.col("rank"), F.col("n")
+    rows = some.where(place <= n - F.ceil(percent * n / 100) + 1).withColumn("first", place <= n - F.ceil(2 * percent * n / (100 + percent)) + 1)
+    rows = tables.write(rows.select(F.xxhash64("shingle", F.lit("rare")).alias("key"), F.lit(-1).alias("band"), "node", "label", "first"), "rare")
+    # a pair across components also has a member outside the largest one: whichever are fewer meet all
+    by_label = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.count_if("first").alias("front"))
+    sizes = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.sum("front").alias("front"), F.count("*").alias("labels")).where("labels > 1 and front > 0")
+    by_place = F.col("front") <= F.col("n") - F.col("m.n")
+    outside = F.when(by_place, F.col("front")).otherwise(F.col("n") - F.col("m.n"))
+    sizes = sizes.select("key", F.when(~by_place, F.col("m.label")).alias("main"), outside.alias("outside"), (F.col("n") - outside).alias("inside"))
+    rows = rows.join(sizes, "key").withColumn("first", F.coalesce(F.col("label") != F.col("main"), F.col("first")))
+    return rows.select("key", "band", "node", "label", "first", "inside", "outside")
+
+
 def cross_members(members: DataFrame, floor: float) -> DataFrame:
     """(key, node) of members that have a likely partner in another component of the bucket."""
 
@@ -329,7 +361,12 @@ def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         links = tables.write(links.union(confirmed(pairs, classes, docs, id_col, text_col, percent, tables)), "links")
         labels = tables.write(connected_components(links, tables), "labels")
     members, main = mixed_buckets(open_, labels, ROUNDS, tables)
-    members = tables.write(members.join(main.drop("hub"), "key").join(classes.select("node", "n", "registers"), "node"), "members")
+    scattered = F.col("outside") > F.greatest(F.lit(BLOCK), F.col("inside"))
+    large = members.join(main.where(scattered).select("key"), "key", "left_semi")
+    left = members.join(main.where(~scattered), "key").withColumn("first", F.col("label") != F.col("main")).drop("main", "hub")
+    if not large.isEmpty():
+        left = left.unionByName(parted(large, classes, docs, id_col, text_col, percent, tables))
+    members = tables.write(left.join(classes.select("node", "n", "registers"), "node"), "members")
     near = tables.write(cross_members(members, floor), "near")
     if not near.isEmpty():
         wanted = tables.write(classes.join(near.select("node").distinct(), "node", "left_semi").select("node", "id", "key"), "wanted")

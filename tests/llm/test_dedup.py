@@ -89,7 +89,7 @@ def test_members_of_large_components_do_not_meet_in_blocks(spark):
     """Of 5,000 near copies in a bucket and 20 sets outside, each moves once for the block of the 20."""
     rows = spark.range(5_020).select(
         F.lit(1).alias("key"), F.lit(0).alias("band"), F.col("id").alias("node"), F.when(F.col("id") < 5_000, F.lit(-1)).otherwise(F.col("id")).alias("label"),
-        F.lit(-1).alias("main"), F.lit(5_000).alias("inside"), F.lit(20).alias("outside"),
+        (F.col("id") >= 5_000).alias("first"), F.lit(5_000).alias("inside"), F.lit(20).alias("outside"),
     )
     dealt = near_dedup.in_blocks(rows)
     assert dealt.where("label = -1").count() == 5_000
@@ -98,6 +98,38 @@ def test_members_of_large_components_do_not_meet_in_blocks(spark):
     assert dealt.groupBy("i", "j").agg(F.countDistinct("node")).count() == 1 + -(-5_000 // near_dedup.BLOCK)
 
 
+def test_texts_of_one_template_move_in_proportion(spark, monkeypatch):
+    """5,000 texts of one template at a similarity of about 0.7, 150 with a near copy: the links are found, and blocks hold few rows a text."""
+    rng = random.Random(13)
+    base = [rng.choice(VOCABULARY) for _ in range(150)]
+    texts = [edited(rng, base, 3) for _ in range(4_850)]
+    texts += [edited(rng, texts[i], 1) for i in range(0, 3_000, 20)]
+    moved, plain = [], near_dedup.in_blocks
+    monkeypatch.setattr(near_dedup, "in_blocks", lambda members: (moved.append(plain(members).count()), plain(members))[1])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.components(docs).collect()}
+    sets = [shingles(" ".join(w)) for w in texts]
+    held = collections.defaultdict(list)
+    for k, x in enumerate(sets):
+        for shingle in x:
+            held[shingle].append(k)
+    # intersections of all pairs: of frequent shingles by a product, of others one by one
+    common = [docs for docs in held.values() if len(docs) > 60]
+    has = np.zeros((len(texts), len(common)), np.float32)
+    for column, docs_ in enumerate(common):
+        has[docs_, column] = 1
+    shared_ = has @ has.T
+    for docs_ in (d for d in held.values() if len(d) <= 60):
+        for a in docs_:
+            shared_[a, docs_] += 1
+    size = np.array([len(x) for x in sets], np.float32)
+    a, b = np.nonzero(100 * shared_ >= 85 * (size[:, None] + size[None, :] - shared_))
+    links = [(int(x), int(y)) for x, y in zip(a, b, strict=True) if x < y]
+    assert len(links) >= 150 and got == components(list(range(len(texts))), links)
+    assert len(set(got.values())) > 3_000
+    assert max(moved) <= 40 * len(texts), moved
+
+
 def test_large_group_of_near_copies_equals_brute_force(spark):
     """5,000 copies of one text with up to two words replaced, some beyond the limit of the smallest id's."""
     rng = random.Random(12)
