@@ -7,8 +7,8 @@ with one hub, never with all others. The joint likelihood of a pair's registers,
 whose similarity is most likely far below the limit; the rest are compared as full sets. Buckets that then still hold
 more than one component get another hub, drawn at random from their largest one, for all sets outside it, ROUNDS times: work in
 proportion to their sets. What is left outside the largest component of a bucket is compared with it and with each other in blocks,
-so that no link is lost to the choice of hubs; members of the largest component are never compared with each other. Where more sets
-are left than the largest component holds, and more than a block, as of texts made from one template, a bucket is parted first: sets can only be linked if they share one
+so that no link is lost to the choice of hubs; members of the largest component are never compared with each other. Where more than a block
+of sets is left and SCATTERED times the largest component, as of texts made from one template, a bucket is parted first: sets can only be linked if they share one
 of their rarest shingles, so many that the others are too few for a link, and those that do are a smaller bucket each. Two
 sets with a similarity of 0.85 share no bucket with probability below 1e-7 (0.8: 1e-5), and the likelihood drops such
 a pair with probability below 1e-5 (0.8: 1e-4).
@@ -44,6 +44,8 @@ TOP = 10.0
 MARGIN = 0.17
 #: Further hubs of buckets with several components, and members of a bucket that are compared with as many others at once.
 ROUNDS, BLOCK = 2, 256
+#: Unlinked sets of a bucket for each of its largest component from which on it is parted; a pair may meet in several parts, but in one bucket only.
+SCATTERED = 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -361,7 +363,7 @@ def components(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_
         links = tables.write(links.union(confirmed(pairs, classes, docs, id_col, text_col, percent, tables)), "links")
         labels = tables.write(connected_components(links, tables), "labels")
     members, main = mixed_buckets(open_, labels, ROUNDS, tables)
-    scattered = F.col("outside") > F.greatest(F.lit(BLOCK), F.col("inside"))
+    scattered = F.col("outside") > F.greatest(F.lit(BLOCK), SCATTERED * F.col("inside"))
     large = members.join(main.where(scattered).select("key"), "key", "left_semi")
     left = members.join(main.where(~scattered), "key").withColumn("first", F.col("label") != F.col("main")).drop("main", "hub")
     if not large.isEmpty():
