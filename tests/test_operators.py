@@ -492,3 +492,9 @@ def test_threshold_cells_are_weighted(spark):
     assert cells.count() <= 1001 and cells.agg(F.sum("n")).first()[0] == 6001
     got = {r["param"]: r["threshold"] for r in learn.thresholds(frame).collect()}
     assert got["rsi_2_threshold"] == pytest.approx(low + (high - low) * 2900 / 3000, abs=0.4)
+
+
+def test_a_margin_of_zero_leaves_one_lot(spark):
+    rows = spark.createDataFrame([(1, 0.9, 0.0), (2, 0.9, -0.0), (3, 0.9, 30_000.0), (4, 0.6, None)], "event_id bigint, confidence double, margin_per_lot double")
+    got = {r["event_id"]: r["recommended_lots"] for r in gate.size(rows).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 1}
