@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from edgelake import schema
-from edgelake.constants import EDGES
+from edgelake.constants import CAPITAL, EDGES
 from edgelake.functions.pricing import at_the_money, atm_premium, black_scholes, normal_cdf, normal_pdf, strike_step
 from edgelake.operators import backtest, gate, learn, ledger, markov, regime, revalidate, triggers
 from edgelake.operators.features import features, synthetic_iv
@@ -218,7 +220,7 @@ WALK = {
 }
 TR = f"trade_id, edge_id, instrument, instrument_class, direction, holding_period, entry_date, exit_date, {r('entry_premium exit_premium net_return_pct')}, regime_at_entry, {r('trigger_value')}"
 register("d12_backtest", lambda s, d: backtest.run(FE(s, d), H(s, d), *fx.TEST, fx.STEPS), fx.sql(f"select {TR} from tr", **IV, **BT, **WALK))
-register("d12_capital", lambda s, d: backtest.run(FE(s, d), H(s, d), *fx.TEST, fx.STEPS).agg(F.count("*").alias("n"), F.ln(backtest.compounded(F.col("net_return_pct"))).alias("log_capital")), fx.sql("select count(*) n, round(ln(1350000.0)+coalesce(sum(ln(1+0.07*net_return_pct/100)),0),6) log_capital from tr", **IV, **BT, **WALK))
+register("d12_capital", lambda s, d: backtest.run(FE(s, d), H(s, d), *fx.TEST, fx.STEPS).agg(F.count("*").alias("n"), (math.log(CAPITAL) + backtest.log_growth(F.col("net_return_pct"))).alias("log_capital")), fx.sql("select count(*) n, round(ln(1350000.0)+coalesce(sum(ln(1+0.07*net_return_pct/100)),0),6) log_capital from tr", **IV, **BT, **WALK))
 
 register("d13_hidden_markov", lambda s, d: regime.classify(regime.market_inputs(fx.market(s, d)), fx.TRAIN_END))
 STAY = 0.9

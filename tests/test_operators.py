@@ -498,3 +498,11 @@ def test_a_margin_of_zero_leaves_one_lot(spark):
     rows = spark.createDataFrame([(1, 0.9, 0.0), (2, 0.9, -0.0), (3, 0.9, 30_000.0), (4, 0.6, None)], "event_id bigint, confidence double, margin_per_lot double")
     got = {r["event_id"]: r["recommended_lots"] for r in gate.size(rows).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
+
+
+def test_growth_beyond_the_largest_double_keeps_its_logarithm(spark):
+    rows = spark.range(40_000).select(F.lit(35.0).alias("net_return_pct"), F.expr("date_add(date'2001-01-01', cast(id % 700 as int))").alias("exit_date"), F.lit(2).alias("holding_period"), F.lit("A").alias("instrument_class"))
+    assert rows.agg(backtest.log_growth(F.col("net_return_pct"))).first()[0] == pytest.approx(40_000 * math.log1p(0.07 * 0.35))
+    row = backtest.scorecard(rows).where("criterion = 'net_cagr_positive'").first()
+    days = backtest.daily_returns(rows).count()
+    assert math.log1p(row["actual"]) == pytest.approx(40_000 * math.log1p(0.07 * 0.35) * 252 / days)
