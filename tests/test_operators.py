@@ -506,3 +506,43 @@ def test_growth_beyond_the_largest_double_keeps_its_logarithm(spark):
     row = backtest.scorecard(rows).where("criterion = 'net_cagr_positive'").first()
     days = backtest.daily_returns(rows).count()
     assert math.log1p(row["actual"]) == pytest.approx(40_000 * math.log1p(0.07 * 0.35) * 252 / days)
+
+
+def test_waiting_signals_are_not_looked_through_at_every_close(monkeypatch):
+    """Signals that may wait on and on cost a close no more, and the book is that of a walk through all of them."""
+    from edgelake.streaming.state import SIGNAL_FIELDS, WAIT_DAYS, Book, new_totals
+
+    class Plain(Book):
+        def step(self, e):
+            if e["kind"] != "close":
+                return super().step(e)
+            waiting, out = self.waiting, []
+            self.queue = type(self.queue)()
+            head = super().step(e)
+            for s in waiting:
+                if (e["day"] - s["since"]).days > WAIT_DAYS.get(s["holding_period"], 0):
+                    out.append((s["trade_id"], "waiting", "EXPIRED"))
+                elif self.free(s["holding_period"]) > 0 and self.reason(s, False, None) == "OK":
+                    self.open(s)
+                    out.append((s["trade_id"], "waiting", "OPENED"))
+                else:
+                    self.wait(s)
+            return head + out
+
+    def events(n, seed):
+        rng = random.Random(seed)
+        for i in range(n):
+            kind = rng.choices(["signal", "close", "reset"], [6, 3, 0.1])[0]
+            values = [f"T{max(0, i - rng.randrange(12)) if kind == 'close' else i}", rng.choice("abcdef"), rng.choice("uvwxyz"), rng.choice("LS"), rng.choice([2, 5, 10, 15, 7]), rng.uniform(0, 99_000), rng.uniform(-10_000, 300_000)]
+            yield dict(zip(SIGNAL_FIELDS, values, strict=True)) | {"seq": i, "day": DAY + dt.timedelta(days=rng.randrange(9)), "kind": kind, "liquidity": None, "transition_warning_flag": False, "pnl": rng.uniform(-25_000, 25_000)}
+
+    for seed in range(20):
+        assert Book({}, [], new_totals(1350000.0), 1350000.0).rows("P", list(events(300, seed))) == Plain({}, [], new_totals(1350000.0), 1350000.0).rows("P", list(events(300, seed)))
+    asked = []
+    free = Book.free
+    monkeypatch.setattr(Book, "free", lambda self, holding: asked.append(1) or free(self, holding))
+    signal = lambda i: {"trade_id": f"T{i}", "instrument_class": f"c{i}", "underlying": f"u{i}", "direction": "LONG", "holding_period": 15, "lot_value": 1.0, "margin_per_lot": 1.0, "kind": "signal", "liquidity": None, "transition_warning_flag": False}
+    rows = [(signal(i) if i % 2 == 0 else {"trade_id": "none", "kind": "close", "pnl": 0.0}) | {"seq": i, "day": DAY} for i in range(2000)]
+    book = Book({}, [], new_totals(1350000.0), 1350000.0)
+    book.rows("P", rows)
+    assert len(book.waiting) == 999 and len(asked) < 3000
