@@ -546,3 +546,18 @@ def test_waiting_signals_are_not_looked_through_at_every_close(monkeypatch):
     book = Book({}, [], new_totals(1350000.0), 1350000.0)
     book.rows("P", rows)
     assert len(book.waiting) == 999 and len(asked) < 3000
+
+
+def test_asof_of_one_hot_day_isnt_sorted_in_one_task(spark):
+    left = spark.range(0, 20_000, 1, 4).select("id", (F.floor(F.col("id") / 50_000) + 5).cast("int").alias("day"))
+    right = spark.createDataFrame([(4, 1), (6, 2)], "day int, v int")
+    got = scan.asof(left, right, "day", [], ["v"], scan.by_width(left, "day", 2)).withColumn("task", F.spark_partition_id())
+    assert got.agg(F.count("*"), F.min("v"), F.max("v"), F.count_distinct("task") > 1).first() == (20_000, 1, 1, True)
+
+
+def test_rank_among_cuts_equals_counting(spark):
+    for cuts in ([], [3], [1, 4, 4.5, 9], list(range(0, 1022, 2))):
+        cuts = [float(c) for c in cuts]
+        rows = spark.range(-3, 1030).select((F.col("id") / 1.0).alias("x")).select("x", scan.rank(F.col("x"), cuts).alias("n")).collect()
+        assert [r["n"] for r in rows] == [sum(c <= r["x"] for c in cuts) for r in rows]
+    assert spark.range(1).select(scan.rank(F.lit(None).cast("double"), [1.0, 2.0])).first()[0] == 0
