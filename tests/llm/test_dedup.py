@@ -400,6 +400,72 @@ def test_the_longest_similar_stretch_equals_brute_force():
         assert y - x == max(every, default=0) and (y == x or (agree[x] and agree[y - 1] and agree[x:y].sum() >= 0.8 * (y - x) - 1e-9))
 
 
+def with_many_sources(rng, rate, several=4):
+    """Rows of passages of 60 words of which both halves stood in ``several`` earlier documents each, and what is to be found of whom."""
+    fresh = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    rows, wanted = [], {}
+    for _ in range(30):
+        passage = fresh(60)
+        changed = passage
+        while changed == passage or not aligned(changed, passage):
+            changed = [rng.choice(VOCABULARY) if rng.random() < rate else w for w in passage] + ["last"]
+        for part in (passage[:30], passage[30:]):
+            rows += [(len(rows) + i, " ".join(fresh(40) + part + fresh(40))) for i in range(several)]
+        rows += [(len(rows), " ".join(fresh(50) + passage + fresh(30))), (len(rows) + 1, " ".join(fresh(20) + changed + fresh(70)))]
+        wanted[len(rows) - 1] = len(rows) - 2
+    return rows, wanted
+
+
+@pytest.mark.parametrize("rate", [0, 0.1])
+@pytest.mark.parametrize("block", [1 << 14, 3])
+def test_passages_of_parts_with_many_sources_are_found(spark, monkeypatch, rate, block):
+    """A seed is matched with all earlier documents where that leads to a passage, in one block or several."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    rows, wanted = with_many_sources(random.Random(31), rate)
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} <= set(wanted)
+    covered = collections.defaultdict(set)
+    for r in found:
+        assert r["source_id"] == wanted[r["doc_id"]]
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+    recall = sum(len(covered[d] & set(range(20, 80))) >= 50 for d in wanted) / len(wanted)
+    assert recall >= 0.9, recall
+
+
+@pytest.mark.parametrize("vocabulary", [4, 40, 4000])
+def test_similar_surroundings_lose_no_pair(vocabulary):
+    """Every pair with a stretch of 50 words around the seed of which 40 agree, at a shift beyond some word, is found."""
+    rng = np.random.default_rng(vocabulary)
+    shift, far = substring_dedup.SHIFT, substring_dedup.FAR
+    base = rng.integers(1, vocabulary, (12, 400))
+    words = np.zeros((300, 2 * substring_dedup.REACH + substring_dedup.WORDS), np.uint16)
+    for w in words:
+        w[:] = np.where(rng.random(w.shape) < rng.uniform(0, 0.5), rng.integers(1, vocabulary, w.shape), base[rng.integers(12), : len(w)])
+        at = rng.integers(substring_dedup.REACH + 5, len(w) - 1)
+        if rng.random() < 0.5:  # words that one text has more
+            w[at:] = np.roll(w[at:], rng.integers(0, shift))
+        w[: rng.integers(0, 80) // 2] = 0
+        w[substring_dedup.REACH :][: substring_dedup.WORDS] = range(1, 6)
+    doc, side = np.arange(300), np.arange(300) % 2
+    free = rng.random(300) < 0.5
+    after = np.where(free, rng.integers(-1, 100, 300), 1 << 60)
+    own = words[:, shift:-shift]
+    wanted = set()
+    for i in np.flatnonzero(free):
+        hit = np.any([(own[i] == words[:, k : k + own.shape[1]]) & (own[i] > 0) for k in range(2 * shift + 1)], 0)
+        many = np.lib.stride_tricks.sliding_window_view(hit, 50, 1).sum(2)
+        inside = np.lib.stride_tricks.sliding_window_view(own[i] > 0, 50).all(1)
+        assert many.shape[1] == far + 1
+        wanted |= {(int(i), int(j)) for j in np.flatnonzero((many * inside >= 40).any(1)) if after[i] < j < i}
+    for sides in (np.zeros(300, int), side):
+        get = lambda first: [(int(a), int(b), bool(c)) for x in substring_dedup.similar(words, doc, after, sides, first) for a, b, c in zip(*x, strict=True)]
+        found = {(i, j) for i, j, _ in get(1000)}
+        assert found >= {(i, j) for i, j in wanted if not sides.any() or side[i] != side[j]} and wanted
+        some = get(3)
+        assert {(i, j) for i, j, _ in some} == {(i, j) for i, j in found if sum(x == i and y < j for x, y in found) < 3}
+        assert all(more == (sum(x == i and y < j for x, y in found) == 2) for i, j, more in some)
+
+
 def test_passages_query(spark):
     """Every row found is what it claims, and no pair of texts that agree word for word over 50 words is left out."""
     texts = {r["doc_id"]: words_of(r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
