@@ -432,6 +432,13 @@ def test_passages_of_parts_with_many_sources_are_found(spark, monkeypatch, rate,
     assert recall >= 0.9, recall
 
 
+def test_passages_of_parts_with_many_sources_are_cut(spark):
+    rows, wanted = with_many_sources(random.Random(31), 0.1)
+    left = {r["doc_id"]: len(r["text"].split()) for r in substring_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(left[k] == len(t.split()) for k, t in rows if k not in wanted)
+    assert sum(left[k] <= 105 for k in wanted) >= 0.9 * len(wanted)
+
+
 @pytest.mark.parametrize("vocabulary", [4, 40, 4000])
 def test_similar_surroundings_lose_no_pair(vocabulary):
     """Every pair with a stretch of 50 words around the seed of which 40 agree, at a shift beyond some word, is found."""
