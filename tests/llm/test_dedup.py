@@ -439,6 +439,51 @@ def test_passages_of_parts_with_many_sources_are_cut(spark):
     assert sum(left[k] <= 105 for k in wanted) >= 0.9 * len(wanted)
 
 
+def test_later_places_in_the_only_earlier_document_are_found(spark):
+    """A seed that stands several times in its first document is matched with all these places."""
+    rng = random.Random(37)
+    fresh = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
+    rows = []
+    for k in range(0, 60, 2):
+        passage = fresh(60)
+        changed = passage
+        while changed == passage or not aligned(changed, passage):
+            changed = [rng.choice(VOCABULARY) if rng.random() < 0.1 else w for w in passage]
+        first = fresh(40) + passage[:30] + fresh(80) + passage[30:] + fresh(80) + passage + fresh(40)
+        rows += [(k, " ".join(first)), (k + 1, " ".join(fresh(20) + changed + fresh(70)))]
+    covered = collections.defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered[r["doc_id"]].update(range(r["start"], r["end"]))
+    assert set(covered) <= {k + 1 for k, _ in rows[::2]}
+    assert sum(len(covered[k + 1] & set(range(20, 80))) >= 50 for k, _ in rows[::2]) >= 27
+
+
+@pytest.mark.parametrize("vocabulary", [2, 40, 4000])
+def test_surroundings_of_repeated_seeds_lose_no_diagonal(vocabulary):
+    """Every pair that agrees on the seed's diagonal is found, or one of the same two texts and diagonal where the run begins; of 1 found in each document others may follow."""
+    rng = np.random.default_rng(vocabulary)
+    shift, middle = substring_dedup.SHIFT, substring_dedup.REACH
+    rows = []
+    for d in range(40):
+        text = rng.integers(2, 2 + vocabulary, 300).astype(np.uint16)
+        run = int(rng.integers(1, 30))
+        text[100 : 104 + run] = 1
+        if d % 3:
+            text[104 + run :] = np.arange(196 - run) % 97 + 9
+            text[104 + run :][rng.random(196 - run) < 0.15] = 3
+        rows += [(d, p, text[p - middle : p + 5 + middle]) for p in range(100, 100 + run)]
+    doc, place, words = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    none = np.zeros(len(doc), int)
+    found = {(int(a), int(b)) for x in substring_dedup.chainable(words, doc, none - 1, none, 10_000) for a, b, _ in zip(*x, strict=True)}
+    own = words[:, shift:-shift]
+    wanted = {(i, j) for i in range(len(doc)) for j in np.flatnonzero(doc < doc[i]).tolist() if substring_dedup.stretch(own[i : i + 1], own[j : j + 1], 1)[0]}
+    diagonals = {(doc[i], doc[j], place[j] - place[i]) for i, j in found}
+    assert wanted and {(doc[i], doc[j], place[j] - place[i]) for i, j in wanted} <= diagonals
+    assert len(found & wanted) < len(wanted)
+    for i, j in wanted - found:
+        assert any((doc[a], doc[b], place[b] - place[a]) == (doc[i], doc[j], place[j] - place[i]) and place[a] < place[i] for a, b in found)
+
+
 @pytest.mark.parametrize("vocabulary", [4, 40, 4000])
 def test_similar_surroundings_lose_no_pair(vocabulary):
     """Every pair with a stretch of 50 words around the seed of which 40 agree, at a shift beyond some word, is found."""
