@@ -1,8 +1,10 @@
 """Near-duplicates, vectors, passages and the pipeline against brute force."""
 
 import collections
+import pathlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -652,3 +654,62 @@ def test_stages_take_odd_rows(spark):
             assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(r[0] for r in rows)
         if name != "best_fit_packing":
             assert out.columns == odd.columns
+
+
+def test_passages_whose_differing_words_stand_together_are_found(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+    rows, first = [], 100
+    for k in range(20):
+        source = word(first + 50)
+        copy = list(source[first:])
+        at = np.arange(1, 21, 2) if k % 2 else np.arange(29, 49, 2)  # every other word on one side: 40 of 50 agree
+        for j, other in zip(at, word(len(at)), strict=True):
+            copy[j] = other
+        rows += [(k, " ".join(source + word(100))), (1000 + k, " ".join(word(80) + copy + word(80)))]
+    found = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["source_id"] for x in found} == {1000 + k: k for k in range(20)}
+    assert all(x["start"] <= 82 and x["end"] >= 128 and x["n_same"] >= 0.8 * (x["end"] - x["start"]) for x in found)
+
+
+def test_chains_looked_at_at_once_are_those_that_align_finds():
+    rng = np.random.default_rng(6)
+    x, y, q, r = [], [], [], []
+    for _ in range(600):
+        a = rng.integers(0, 1 << 30, 220).astype(np.int32)
+        b, at = [], []
+        for j, w in enumerate(a):
+            at.append(len(b))
+            b += [] if rng.random() < 0.02 else [rng.integers(0, 1 << 30)] if rng.random() < rng.choice([0.1, 0.3]) else [w]
+        b = np.array(b, np.int32)
+        seeds = [j for j in np.sort(rng.choice(np.arange(80, 120), rng.integers(1, 5), False)) if at[j] < len(b)]
+        x.append(a), y.append(b), q.append(np.array(seeds, np.int32)), r.append(np.array([at[j] for j in seeds], np.int32))
+    lists = lambda parts: (np.cumsum([0, *map(len, parts)]), np.concatenate(parts))
+    one = {k: np.zeros(len(x), np.int64) for k in ("qa", "ra")}
+    look, known = substring_dedup.straight_passages(np.arange(len(x) + 1), [lists(q), lists(r)], one, lists(x), lists(y))
+    more = 0
+    for k, (a, b, c, d) in enumerate(zip(x, y, q, r, strict=True)):
+        exact = [(s, e, u, n) for s, e, u, _, n in substring_dedup.align(a, b, c, d)]
+        if exact:
+            assert look[k] and known.get(k, exact[0]) == exact[0]
+        elif k in known:
+            s, e, u, n = known[k]
+            assert e - s >= 50 and n >= 0.8 * (e - s) and n == (a[s:e] == b[u : u + e - s]).sum() and s <= c[-1] and e >= c[0] + 5
+            more += 1
+    assert known and more and not look.all()
+
+
+def test_shuffle_files_of_finished_steps_go(spark):
+    """A driver with room in its heap leaves them until the end, several times the input."""
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 300))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p.name for d in local for p in pathlib.Path(str(d)).rglob("shuffle_*.data")}
+    before = files()
+    substring_dedup.passages(docs)
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left
